@@ -76,7 +76,7 @@ class Engine:
 
     # --- asking
     def search(self, query: str, max_results: int | None = None, min_score: float | None = None, scope: str = "impl", path: str = "", record: bool = True) -> DataFrame:
-        n, floor = max_results or self.config.max_results, self.config.min_score if min_score is None else min_score
+        n, floor = self.config.max_results if max_results is None else max_results, self.config.min_score if min_score is None else min_score
         if len(query) > 10_000 or not 1 <= n <= 200 or not 0 <= floor <= 1:
             raise ValueError("query of at most 10000 characters, max_results 1..200, min_score 0..1")
         chunks = self._chunks(scope, path)
@@ -108,7 +108,7 @@ class Engine:
         return rank.blend(found, signals, rank.weights(semantic, bool(self.hits)), "chunk_id", n, floor)
 
     def context(self, query: str, budget: int | None = None, scope: str = "impl") -> DataFrame:
-        budget = budget or self.config.token_budget
+        budget = self.config.token_budget if budget is None else budget
         if not 256 <= budget <= 32768:
             raise ValueError("budget must lie in 256..32768")
         chunks = self._chunks(scope)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import checkpointed
+
 
 def resolve(edges: DataFrame, symbols: DataFrame, same_file: bool = True) -> tuple[DataFrame, DataFrame]:
     """edges(src, dst_name, kind, file, language), symbols(symbol_id, name, file, language) -> (resolved, pending).
@@ -42,9 +44,13 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, direction: str) -
         new = frontier.join(step, "src").select("seed", F.col("dst").alias("node")).distinct()
         if reached is not None:
             new = new.join(reached, ["seed", "node"], "left_anti")
+        if depth > 2:  # beyond that, a plan that repeats all levels before costs more than writing each once
+            new = checkpointed(new)
+            if new.isEmpty():
+                break
         reached = new if reached is None else reached.union(new)
         frontier = new.select("seed", F.col("node").alias("src"))
-    return reached
+    return reached if reached is not None else new
 
 
 def structural_score(candidates: DataFrame, chunk_symbol: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:

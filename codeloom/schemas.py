@@ -6,12 +6,21 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 SCHEMA_VERSION, CHUNKER_VERSION = 1, 1
 
+TYPES = {"long": LongType(), "int": IntegerType(), "string": StringType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType(), "array<float>": ArrayType(FloatType(), False)}
+
+
+def schema(ddl: str) -> StructType:
+    """From `name type [not null], ...`; needs no session."""
+    fields = [c.split(" ", 2) for c in ddl.split(", ")]
+    return StructType([StructField(f[0], TYPES[f[1]], len(f) < 3) for f in fields])
+
+
 TABLES = {
-    name: StructType.fromDDL(ddl)
+    name: schema(ddl)
     for name, ddl in {
         "files": "id long, path string not null, content_hash string not null, mtime double not null, size long, language string, indexed_at timestamp, embedding_status string, parse_quality string, is_test boolean not null, project_id long not null",
         "chunks": "id long, file_id long not null, parent_chunk_id long, chunk_index int not null, symbol_name string, kind string, start_line int not null, end_line int not null, content string not null, token_count int not null, signature string, parse_quality string, embedded boolean not null",

@@ -201,7 +201,7 @@ def parse(path: str, text: str, language: str) -> Iterator[dict]:
     for name, _, symbol, a, b, parent in found:
         if symbol:
             visibility, exported = _visible(language, name, lines[a - 1])
-            kind = "method" if symbol == "function" and parent and language != "rust" else symbol
+            kind = "method" if symbol == "function" and parent and language == "python" else symbol
             owners.append((a, b, name))
             yield {"tag": "symbol", "path": path, "name": name, "kind": kind, "start_line": a, "end_line": b, "signature": lines[a - 1].strip(), "parent": parent or None, "visibility": visibility, "exported": exported}
     if not owners:
@@ -215,13 +215,14 @@ def parse(path: str, text: str, language: str) -> Iterator[dict]:
             last = re.split(r"\.|::", m["name"])[-1]
             if last not in WORDS and last != owner[2] and not (i == owner[0] and last == owner[2]):
                 edges.add((owner[2], m["name"], m["name"], "calls"))
+        # The line of the name may follow decorators.
+        if (m := re.match(r"\s*class\s+(\w+)\s*(?:\(([^)=]*)\)|<\s*([\w:]+))", line)) and m[1] == owner[2]:
+            edges |= {(owner[2], x.strip(), x.strip(), "inherits") for x in (m[2] or m[3] or "").split(",") if x.strip()}
         if i == owner[0]:
             if m := re.search(r"\bextends\s+([\w.]+)", line):
                 edges.add((owner[2], m[1], m[1], "inherits"))
             if m := re.search(r"\bimplements\s+([\w., ]+)", line):
                 edges |= {(owner[2], x.strip(), x.strip(), "implements") for x in m[1].split(",") if x.strip()}
-            if m := re.match(r"\s*class\s+\w+\s*(?:\(([^)=]*)\)|<\s*([\w:]+))", line):
-                edges |= {(owner[2], x.strip(), x.strip(), "inherits") for x in (m[1] or m[2] or "").split(",") if x.strip()}
             if m := re.match(rf"\s*impl(?:<[^>]*>)?\s+([\w:]+).*\s+for\s+({ID})", line):
                 edges.add((m[2], m[1], m[1], "implements"))
     for src, dst, qualified, kind in sorted(edges):
