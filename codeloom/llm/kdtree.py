@@ -5,8 +5,8 @@ on the widest side, tight bounding boxes, leaves of `LEAF` vectors. Queries come
 best product within a box [lo, hi] is sum(max(q*lo, q*hi)); the search takes boxes best first and ends when the next
 bound lies under the k-th score. The first shard is searched alone and its k-th scores are propagated to all others.
 
-Vectors that are null or hold null or non-finite components, and those of another length than the most frequent one
-within what is compared, take no part. Ties go to the smaller id; rows of the query's own id are never its results; an
+Rows without an id, null or empty vectors and those with null or non-finite components take no part; vectors of different
+lengths are not compared with each other. Ties go to the smaller id; rows of the query's own id are never its results; an
 id that occurs several times as a query is asked once for each different vector, and results merge under the id.
 Fewer candidates than k give fewer rows; an empty table gives none. Other columns are left out.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpointed, table
+from .common import checkpointed, small_batches, table
 
 SHARD_ROWS, LEAF, BLOCK = 8192, 128, 256
 
@@ -89,7 +89,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     What one task holds is one shard's tree and one block of queries, whatever the table's size.
     """
-    sound = lambda df: df.where("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
+    small_batches(vectors.sparkSession)
+    sound = lambda df: df.where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
     vectors, queries = sound(vectors), sound(queries)
     dealt = _dealt(vectors, vectors.count(), shard_rows, "shard")
     shards = max(1, -(-vectors.count() // shard_rows))
@@ -98,19 +99,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         rows = []
         for dim, part in own.groupby(own.v.map(len)):
             rows.append((int(part[name].iloc[0]), dim, part.id.to_numpy(np.int64).tobytes(), np.stack(part.v.to_numpy()).astype(np.float64).tobytes()))
-        return pd.DataFrame(rows, columns=[name, "dim", f"{name}_ids", f"{name}_points"])
+        return pd.DataFrame(rows, columns=[name, "dim", f"{name}_ids", f"{name}_points"]).astype({name: "int32", "dim": "int32"})
 
     stored = checkpointed(dealt.groupBy("shard").applyInPandas(lambda own: packed(own, "shard"), "shard int, dim int, shard_ids binary, shard_points binary"))
     blocks = checkpointed(_dealt(queries.dropDuplicates(), queries.count(), BLOCK, "block").groupBy("block").applyInPandas(lambda own: packed(own, "block"), "block int, dim int, block_ids binary, block_points binary"))
 
     def search(frames):
-        held = None, None
+        """Rows come by shard, its own row before the blocks that ask it."""
+        held, tree = None, None
         for frame in frames:
             for row in frame.itertuples(index=False):
-                if held[0] != (row.shard, row.dim):
-                    held = (row.shard, row.dim), Tree(np.frombuffer(row.shard_ids, np.int64), np.frombuffer(row.shard_points).reshape(-1, row.dim))
-                tree, ids = held[1], np.frombuffer(row.block_ids, np.int64)
-                points = np.frombuffer(row.block_points).reshape(-1, row.dim)
+                ids, points = np.frombuffer(row.ids, np.int64), np.frombuffer(row.points).reshape(-1, row.dim)
+                if row.kind == 0:
+                    held, tree = (row.shard, row.dim), Tree(ids, points)
+                    continue
+                if held != (row.shard, row.dim):
+                    continue
                 least = np.frombuffer(row.least) if row.least else np.full(len(ids), -np.inf)
                 bounds, found = tree.bounds(points), []
                 for i, own in enumerate(ids.tolist()):
@@ -119,10 +123,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     schema = "block int, dim int, place int, query_id long, id long, score double"
 
-    def searched(asked: DataFrame) -> DataFrame:
-        return stored.join(asked, ["shard", "dim"]).repartition("shard").sortWithinPartitions("shard", "dim").mapInPandas(search, schema)
+    def searched(trees: DataFrame, asked: DataFrame) -> DataFrame:
+        """A shard's row is sent once, a block's row once a shard."""
+        none = F.lit(None)
+        rows = trees.select("shard", "dim", F.lit(0).alias("kind"), F.col("shard_ids").alias("ids"), F.col("shard_points").alias("points"), none.cast("int").alias("block"), none.cast("binary").alias("least"))
+        rows = rows.union(asked.select("shard", "dim", F.lit(1), "block_ids", "block_points", "block", "least"))
+        return rows.repartition("shard").sortWithinPartitions("shard", "dim", "kind").mapInPandas(search, schema)
 
-    first = checkpointed(searched(blocks.select("*", F.lit(0).alias("shard"), F.lit(None).cast("binary").alias("least"))))
+    first = checkpointed(searched(stored.where("shard = 0"), blocks.select("*", F.lit(0).alias("shard"), F.lit(None).cast("binary").alias("least"))))
 
     def with_least(key, block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         block = block[["block", "dim", "block_ids", "block_points"]].copy()
@@ -135,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         return block
 
     known = blocks.groupBy("block", "dim").cogroup(first.groupBy("block", "dim")).applyInPandas(with_least, "block int, dim int, block_ids binary, block_points binary, least binary")
-    rest = searched(known.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))) if shards > 1 else first.limit(0)
+    rest = searched(stored.where("shard > 0"), known.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))) if shards > 1 else first.limit(0)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = first.union(rest).select("query_id", "id", "score").withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
