@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import sanitize_query, tokens
+from ..functions.scalar import WORD, sanitize_query, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -24,8 +25,11 @@ def bm25(df: DataFrame, query: str, scope: Column | None = None, id_col: str = "
     Only the query's terms leave the scan; `scope` filters before scoring, statistics excepted.
     """
     terms = sorted({w.lower() for w in sanitize_query(query)})
-    split = df.select(id_col, tokens(F.col(text_col)).alias("t"), (scope if scope is not None else F.lit(True)).alias("in_scope"))
-    n, average = split.agg(F.count("*"), F.avg(F.size("t"))).first()
+    lower = F.lower(F.col(text_col))
+    n, average = df.agg(F.count("*"), F.avg(F.regexp_count(lower, F.lit(WORD)))).first()
+    # A text without any term as a substring holds none as a token and needn't be cut into tokens.
+    possible = reduce(lambda a, b: a | b, [lower.contains(t) for t in terms], F.lit(False))
+    split = df.where(possible).select(id_col, tokens(F.col(text_col)).alias("t"), (scope if scope is not None else F.lit(True)).alias("in_scope"))
     found = F.filter("t", lambda x: x.isin(*terms) if terms else F.lit(False))
     hits = split.select(id_col, "in_scope", F.size("t").alias("len"), F.explode(found).alias("term")).groupBy(id_col, "term", "len", "in_scope").agg(F.count("*").alias("tf"))
     idf = hits.groupBy("term").agg(F.count("*").alias("df")).select("term", F.greatest(F.lit(LEAST_IDF), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
