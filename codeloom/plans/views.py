@@ -12,7 +12,9 @@ LINES = 4
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """Texts are spread over all cores where their files make fewer splits than there are cores; large tables stay as they are."""
+    df, cores = spark.read.parquet(f"{d}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
