@@ -78,3 +78,16 @@ def pack_budget(candidates: DataFrame, budget: int) -> DataFrame:
 
     folded = F.aggregate("all", F.struct(F.lit(budget).alias("left"), empty.alias("out")), step, lambda a: a["out"])
     return one.select(F.posexplode(folded).alias("position", "c")).select("position", "c.id", "c.token_count")
+
+
+def expand(neighbours: DataFrame, left: int, share: int = 30) -> DataFrame:
+    """neighbours(id, token_count, score) of what was packed -> (position, id): by falling score, each one that still fits
+    into that share (per cent) of the tokens left."""
+    one = neighbours.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id", "token_count"))).alias("all"))
+    folded = F.aggregate(
+        "all",
+        F.struct(F.lit(left * share // 100).alias("left"), F.array().cast("array<bigint>").alias("out")),
+        lambda a, c: F.when(c["token_count"] > a["left"], a).otherwise(F.struct((a["left"] - c["token_count"]).alias("left"), F.array_append(a["out"], c["id"]).alias("out"))),
+        lambda a: a["out"],
+    )
+    return one.select(F.posexplode(folded).alias("position", "id"))

@@ -693,3 +693,19 @@ def search_render(s, d):
 def html_scan_extract(s, d):
     links = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))
     return v.t(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(links).alias("links"))
+
+
+EXPAND = """near AS (SELECT dst AS id FROM edges WHERE src <= 20 UNION SELECT src FROM edges WHERE dst <= 20),
+o AS (SELECT symbol_id AS id, CAST(file * 3 AS INTEGER) AS tok, row_number() OVER (ORDER BY (symbol_id * 7919 % 1000) / 1000.0 DESC, symbol_id) AS n FROM symbols JOIN near ON id = symbol_id WHERE symbol_id > 20),
+f AS (SELECT 0::BIGINT AS n, 600 AS rem, []::BIGINT[] AS got UNION ALL SELECT o.n, CASE WHEN tok > rem THEN rem ELSE rem - tok END, CASE WHEN tok > rem THEN got ELSE list_append(got, id) END FROM f JOIN o ON o.n = f.n + 1)
+--
+SELECT CAST(i - 1 AS INTEGER) AS position, got[i] AS id FROM (SELECT got, unnest(range(1, len(got) + 1)) AS i FROM f WHERE n = (SELECT max(n) FROM f))"""
+
+
+@query(sql(EXPAND, "edges", "symbols", recursive=True))
+def context_expand(s, d):
+    """Neighbours of the packed symbols 1 to 20 that 30 per cent of 2000 left tokens hold."""
+    packed = v.symbols(s, d).where("symbol_id <= 20").select(F.col("symbol_id").alias("seed"))
+    near = graph.neighbours(v.edges(s, d), packed, 1, "both").select(F.col("node").alias("symbol_id")).distinct().where("symbol_id > 20")
+    rows = v.symbols(s, d).join(near, "symbol_id").select(F.col("symbol_id").alias("id"), (F.col("file") * 3).cast("int").alias("token_count"), F.round((F.col("symbol_id") * 7919 % 1000) / 1000.0, 6).alias("score"))
+    return assemble.expand(rows, 2000)
