@@ -15,7 +15,6 @@ an empty table gives none; columns beyond id and text are left out.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -161,92 +160,133 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(roots.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-# Similarity of 0.8 and more is beyond three bits of 64, so it takes wider fingerprints and more, shorter segments.
+# Similarity of 0.8 and more is beyond three bits of 64. It is counted exactly, on the sets of five-word shingles.
 
-#: Words of the wide fingerprints: 512 bits, of three-word shingles to search by and of five-word shingles to verify.
-WIDE = 8
-RECALL = 0.97
-#: Standard errors of the estimated distance by which the threshold lies on the side of linking.
-MARGIN = 2.0
+#: Texts that are looked at for frequent shingles, and how many of those are known at most. Neither changes what is found.
+SAMPLE, FREQUENT = 16384, 65536
 
 
-def wide_fingerprint(text: str, shingle: int) -> bytes:
+def shingles(text: str, size: int = 5) -> set[tuple]:
+    """Distinct word shingles; a shorter text is one shingle, a wordless one has none. A-Z count as a-z."""
     words = text.encode().lower().split()
-    if not words:
-        return bytes(8 * WIDE)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, np.uint64)
-    total = np.zeros(64 * WIDE, np.int64)
-    for a in range(0, len(h), 255):  # counts of 255 rows fit a byte
-        x = h[a : a + 255, None] + np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits(2 * total > len(h), bitorder="little").tobytes()
-
-
-def differing(similarity: float, words: int) -> float:
-    """Share of bits that differ, on average, between texts of which shingles of five words have this Jaccard similarity,
-    for shingles of so many words: a share s = 2J / (1 + J) of the shingles is common, and s ** (words / 5) of the others."""
-    return math.acos((2 * similarity / (1 + similarity)) ** (words / 5)) / math.pi
-
-
-def segments(rows: int, similarity: float) -> tuple[int, int]:
-    """(bits of a segment, radius in it): segments grow with the table, as multi-index hashing asks; the radius is the least
-    at which RECALL of the pairs of just this similarity agree in some segment. More similar pairs are found more surely."""
-    p, width = differing(similarity, 3), max(16, math.ceil(math.log2(max(2, rows))) - 2)
-    for radius in range(width):
-        hit = sum(math.comb(width, r) * p**r * (1 - p) ** (width - r) for r in range(radius + 1))
-        if 1 - (1 - hit) ** (64 * WIDE // width) >= RECALL:
-            break
-    return width, radius
+    return set(zip(*(words[i:] for i in range(size)))) if len(words) >= size else {tuple(words)} - {()}
+
+
+def shingle_hashes(text: str, size: int = 5) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, ascending."""
+    words = text.encode().lower().split()
+    known: dict[bytes, int] = {}
+    h = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w, 42)) for w in words), np.uint64, len(words))
+    size = min(size, max(1, len(words)))
+    n = len(h) - size + 1 if len(h) else 0
+    x = np.full(n, size, np.uint64)
+    for i in range(size):
+        x = (x ^ h[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((x ^ (x >> np.uint64(31))).view(np.int64))
+
+
+def set_number(hashes: np.ndarray) -> int:
+    """Texts of equal sets have equal numbers."""
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64)))
+
+
+def frequent_shingles(texts: DataFrame, text_col: str, rows: int) -> np.ndarray:
+    """Hashes of shingles that several texts of a sample hold, the rarer first."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_hashes(t) for t in strings(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["key"])
+
+    part = texts.sample(min(1.0, SAMPLE / max(1, rows)), 42) if rows > SAMPLE else texts
+    counts = part.select(text_col).mapInArrow(run, "key long").groupBy("key").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
+    return np.array([r["key"] for r in reversed(found)], np.int64)
+
+
+def candidates(texts: DataFrame, text_col: str, frequent: np.ndarray, similarity: float) -> DataFrame:
+    """-> distinct (u, v) of set numbers among which are all pairs of at least this similarity.
+
+    Shingles have one order in all texts, the frequent ones last. Of n shingles only the first n - ceil(similarity * n) + 1
+    are keys: two sets that are similar enough share one of them, whatever the order is (prefix filter). The lengths of the
+    sets and the places of the first shared key bound the similarity from above and leave out most other pairs.
+    """
+    order = np.argsort(frequent)
+    by_hash = frequent[order]
+
+    def keys(batches):
+        for batch in batches:
+            found, sizes, places, nodes = [], [], [], []
+            for t in strings(batch.column(0)):
+                h = shingle_hashes(t)
+                nodes.append(set_number(h))
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(by_hash, h), len(by_hash) - 1)
+                    often = by_hash[at] == h
+                    h = np.concatenate([h[~often], frequent[np.sort(order[at[often]])]])
+                kept = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+                found.append(h[:kept])
+                sizes.append(len(h))
+                places.append(np.arange(kept, dtype=np.int32))
+            counts = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate([np.zeros(0, np.int32), *places]))], ["key", "node", "n", "at"])
+
+    # Repeated texts give equal rows, which go where the keys are; the join needs no other exchange.
+    keyed = texts.select(text_col).mapInArrow(keys, "key long, node long, n int, at int").repartition("key").distinct()
+    x, y = keyed.alias("x"), keyed.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    shared = F.least(n - F.col("x.at"), m - F.col("y.at"))
+    fits = (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (shared >= (n + m) * (similarity / (1 + similarity)) - 1e-9)
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
 
 
 def similar(docs: DataFrame, row_col: str, text_col: str = "text", id_col: str = "doc_id", similarity: float = 0.8) -> DataFrame:
     """(row, id, component): component is the row (of the least id) that stands for the group of a text's near copies.
 
-    Linked are texts whose five-word shingles have at least this similarity, as their 512-bit fingerprints estimate it (with a
-    standard error of 0.04 at 0.8; pairs down to about 0.72 may be linked, too, so that few of 0.8 and more are missed).
+    Linked are exactly the texts whose sets of five-word shingles have at least this Jaccard similarity: candidates leave out
+    no such pair, and each is counted on the words themselves. Groups are the components of these links. Texts of equal
+    sets are one class and compared once; a family of k different near copies is compared in up to k * k / 2 pairs.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    def numbers(batches):
         for batch in batches:
-            texts = strings(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([wide_fingerprint(t, 3) for t in texts], pa.binary()), pa.array([wide_fingerprint(t, 5) for t in texts], pa.binary())], ["row", "id", "search", "bits"])
-
-    prints = checkpointed(docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), text_col).mapInArrow(run, f"row long, id {kind}, search binary, bits binary"))
-    # Classes of equal fingerprints stand in for their rows.
-    classes = checkpointed(prints.groupBy("search", "bits").agg(F.min(F.struct("id", "row")).alias("first")).select("search", "bits", F.col("first.row").alias("node"), F.col("first.id").alias("id")))
-    width, radius = segments(classes.count(), similarity)
-    masks = [sum(1 << b for b in flipped) for r in range(radius + 1) for flipped in itertools.combinations(range(width), r)]
-
-    def keys(batches):
+            found = [set_number(shingle_hashes(t)) for t in strings(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["row", "id", "set"])
+
+    rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = checkpointed(rows.mapInArrow(numbers, f"row long, id {kind}, set long"))
+    classes = checkpointed(prints.groupBy("set").agg(F.min(F.struct("id", "row")).alias("first")).select("set", F.col("first.row").alias("node"), F.col("first.id").alias("id")))
+    sets = candidates(rows, "text", frequent_shingles(rows, "text", prints.count()), similarity)
+    # A class's first row stands for it from here on.
+    first = lambda side: classes.select(F.col("set").alias(side), F.col("node").alias(f"{side}_row"))
+    pairs = checkpointed(sets.join(first("u"), "u").join(first("v"), "v").select(F.col("u_row").alias("u"), F.col("v_row").alias("v")))
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    held = rows.select(F.col("row").alias("node"), "text").join(asked, "node", "left_semi")
+
+    def verified(batches):
+        last, own = None, set()
         for batch in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
-            n, count = len(bits), 64 * WIDE // width
-            own = bits[:, : count * width].reshape(n, count, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
-            own = own[:, :, None] ^ np.array(masks, np.int64)
-            at = pa.array(np.repeat(np.arange(n), count * len(masks)))
-            tables = np.tile(np.repeat(np.arange(count, dtype=np.int32), len(masks)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(tables), pa.array(own.ravel()), pa.array(np.zeros(len(tables), np.int32)), batch.column(1).take(at), batch.column(2).take(at)], ["table", "key", "part", "node", "bits"])
-
-    keyed = classes.select("search", "node", "bits").mapInArrow(keys, "table int, key long, part int, node long, bits binary")
-    p = differing(similarity, 5)
-    most = int(64 * WIDE * p + MARGIN * math.sqrt(64 * WIDE * p * (1 - p)))
-    grouped = connected_components(linked(keyed, most, WIDE))
+            u, v = [], []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                if a != last:
+                    last, own = a, shingles(x or "")
+                other = shingles(y or "")
+                both = len(own & other)
+                if both and both / (len(own) + len(other) - both) >= similarity:
+                    u.append(a)
+                    v.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    read = pairs.join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    grouped = connected_components(read.select("u", "v", "a", "b").mapInArrow(verified, "u long, v long"))
     found = classes.join(grouped, "node", "left").withColumn("root", F.coalesce("component", "node"))
     best = found.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best")).select("root", F.col("best.node").alias("component"))
-    rooted = found.select("search", "bits", "root").join(best, "root").select("search", "bits", "component")
-    return prints.join(rooted, ["search", "bits"]).select("row", "id", "component")
+    rooted = found.select("set", "root").join(best, "root").select("set", "component")
+    return prints.join(rooted, "set").select("row", "id", "component")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,35 @@ def test_similar_texts(spark):
     assert [got[i] for i in range(len(rows))] == truth
 
 
+def test_similar_counts_sets(spark):
+    """Links are exactly the pairs of 0.8 and more, also where lines repeat, texts are short or lie just beside the limit."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    line, texts = some(12), []
+    for _ in range(12):
+        body = some(200)
+        texts += [body + line, body + line * 6]  # near copies: one repeats its last line
+        texts.append(some(15) + line * 12)  # shares but a repeated line with the others
+        for cut in (36, 44, 52, 60):  # two texts around the limit that share all but so many words
+            shared = some(200)
+            texts += [shared + some(cut // 2), shared + some(cut // 2)]
+        short = some(8)
+        texts += [short, short + some(1), short[1:] + some(2)]
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert 24 <= len(texts) - len(set(root)) < 90
+    df = spark.createDataFrame([(i, i, " ".join(w)) for i, w in enumerate(texts)], "row long, doc_id long, text string")
+    got = {r["row"]: r["component"] for r in simhash.similar(df, "row").collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def lz(words):
     seen, n, cur = set(), 0, ()
     for w in words:
