@@ -1,8 +1,10 @@
 """Licences by sentence rules, with DataFrame functions alone.
 
-A text is cut into sentences at line ends and at .!?; followed by space; sentences are normalised (lower case, runs of
-other than letters and digits become one space) and looked up among the known licence sentences. What is left, each
-document's sequence of sentence identifiers, is matched against the rules in their order, longest first: a rule whose
+A text is cut into pieces at line ends and at .!?; followed by space, and normalised (lower case, runs of other than letters
+and digits become one space). Known sentences are looked for across cuts, so wrapped ones are found, and in any comment
+style: mentions (`MENTIONS`) from the start of a piece to the end of one, wording of licence texts anywhere between words,
+as the real sentences go on or name a holder. Of overlapping ones the first counts. Each document's sequence of sentence
+identifiers is matched against the rules in their order, longest first: a rule whose
 identifiers occur one after another (unknown sentences between them don't matter) names its licence and uses them up.
 
 One row per document, so null, empty and unlicensed texts have empty strings and zero; repeated rows get equal rows, an
@@ -49,19 +51,27 @@ SENTENCES = {
     29: "spdx license identifier gpl 3 0 only",
     30: "licensed under the mit license",
     31: "this file is licensed under the bsd 3 clause license",
+    32: "licensed under the apache license version 2 0 the license",
+    33: "names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
+#: Identifiers that count only as whole pieces; the others are wording of licence texts.
+MENTIONS = {1, 2, 3, 4, *range(21, 33)}
 #: (licence, identifiers in order); tried in this order.
 RULES = [
     ("BSD-3-Clause", [11, 12, 13, 14]),
+    ("BSD-3-Clause", [11, 12, 13, 33]),
     ("Apache-2.0", [2, 8, 9, 10]),
+    ("Apache-2.0", [32, 8, 9, 10]),
     ("MIT", [5, 6, 7]),
     ("BSD-2-Clause", [11, 12, 13]),
     ("GPL-3.0-or-later", [15, 16]),
     ("GPL-2.0-or-later", [15, 17]),
     ("Apache-2.0", [2, 8]),
+    ("Apache-2.0", [32, 8]),
     ("MIT", [5, 6]),
     ("MIT", [5]),
     ("Apache-2.0", [2]),
+    ("Apache-2.0", [32]),
     ("MIT", [1]),
     ("MIT", [30]),
     ("MIT", [26]),
@@ -81,25 +91,45 @@ RULES = [
     ("LicenseRef-AllRightsReserved", [25]),
 ]
 BREAK = r"[.!?;]+(?:\s+|$)|[\r\n]+"
+CUT = "\x01"
+
+
+def _any(ids) -> str:
+    return "|".join(SENTENCES[i].replace(" ", "[ |]+") for i in sorted(ids, key=lambda i: -len(SENTENCES[i])))
+
+
+#: Known sentences among the pieces.
+FIND = rf"(?:(?<=\| )(?:{_any(MENTIONS)})(?= *\|)|(?<= )(?:{_any(SENTENCES.keys() - MENTIONS)})(?= ))"
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_sentences (known ones), sentence_ids, positions (sentence numbers from 0), licenses (comma-joined)."""
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(map(str, ids)) + "|").alias("ids")) for name, ids in RULES])
-    lengths = F.array(*[F.lit(n) for n in sorted({len(s) for s in SENTENCES.values()})])
-    sentences = F.split(F.coalesce(text_col, F.lit("")), BREAK)
-    # A text of few letters can't hold a long sentence; a sentence of another length than any known one isn't looked up.
-    ids = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.transform(ids, lambda s: F.when(F.array_contains(lengths, F.length(s)), F.coalesce(F.element_at(known, s), F.lit(0))).otherwise(0))
-    base = df.select(id_col, ids.alias("__ids"))
-    base = base.select(id_col, F.filter(F.transform("__ids", lambda x, i: F.struct(i.alias("at"), x.alias("id"))), lambda x: x["id"] > 0).alias("__known"))
+    """Per row: id, n_sentences (known ones), sentence_ids, positions (numbers of the pieces they begin in, from 0), licenses (comma-joined)."""
+    known = F.create_map(*[F.lit(x) for i, t in SENTENCES.items() for x in (t, i)])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in RULES])
+    # Cuts become bars: "| first piece | second piece |".
+    pieces = F.regexp_replace(F.lower(F.translate(F.coalesce(text_col, F.lit("")), CUT, " ")), BREAK, CUT)
+    pieces = F.regexp_replace(F.trim(F.regexp_replace(pieces, f"[^a-z0-9{CUT}]+", " ")), f" ?{CUT} ?", " | ")
+    base = df.select(id_col, F.concat(F.lit("| "), F.trim(pieces), F.lit(" |")).alias("__pieces"))
+    met = F.when(F.col("__pieces").rlike(FIND), F.regexp_extract_all("__pieces", F.lit(rf"({FIND}|\|)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    item = "array<struct<at:int,id:int>>"
+    cuts = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
+    walked = F.aggregate(
+        "__met",
+        F.struct(F.lit(-1).alias("at"), F.array().cast(item).alias("known")),
+        lambda acc, x: F.struct(
+            (acc["at"] + cuts(x)).alias("at"),
+            F.when(x == "|", acc["known"]).otherwise(F.array_append(acc["known"], F.struct(acc["at"].alias("at"), F.element_at(known, F.regexp_replace(x, "[ |]+", " ")).alias("id")))).alias("known"),
+        ),
+        lambda acc: acc["known"],
+    )
+    base = base.select(id_col, met.alias("__met")).select(id_col, walked.alias("__known"))
     numbers = F.transform("__known", lambda x: x["id"].cast("string"))
-    sequence = F.concat(F.lit("|"), F.array_join(F.transform(numbers, lambda x: x), "|"), F.lit("|"))
+    # Every identifier has its own marks on both sides, so that neighbours can be used up one by one.
+    sequence = F.array_join(F.transform(numbers, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     matched = F.aggregate(
         rules,
         F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("found")),
-        lambda acc, r: F.when(acc["left"].contains(r["ids"]), F.struct(F.replace(acc["left"], r["ids"], F.lit("|;|")).alias("left"), F.array_append(acc["found"], r["name"]).alias("found"))).otherwise(acc),
+        lambda acc, r: F.when(acc["left"].contains(r["ids"]), F.struct(F.replace(acc["left"], r["ids"], F.lit(";")).alias("left"), F.array_append(acc["found"], r["name"]).alias("found"))).otherwise(acc),
         lambda acc: F.array_join(F.array_sort(F.array_distinct(acc["found"])), ","),
     )
     return base.select(

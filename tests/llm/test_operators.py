@@ -238,6 +238,69 @@ def test_license_scan(docs):
     assert found[0]["licenses"] == "" and found[0]["n_sentences"] == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2026 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+APACHE = """# Copyright 2026 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """3. Neither the name of the %s nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version %s of the License, or
+ * (at your option) any later version."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"""
+
+
+def test_license_texts_as_they_are_stored(spark):
+    cases = [
+        (MIT, "MIT", "5,6,7"), (APACHE, "Apache-2.0", "32,8,9,10"), (BSD2, "BSD-2-Clause", "11,12,13"), (BSD3 % "copyright holder", "BSD-3-Clause", "11,12,13,14"),
+        (BSD3 % "Regents" + BSD3 % "copyright holder", "BSD-3-Clause", "11,12,13,33,11,12,13,14"), ((BSD3 % "copyright holder") * 2, "BSD-3-Clause", "11,12,13,14,11,12,13,14"),
+        (GPL % 3, "GPL-3.0-or-later", "15,16"), (GPL % 2, "GPL-2.0-or-later", "15,17"), (MPL, "MPL-2.0", "19"), (MIT.replace("\n", "\r\n"), "MIT", "5,6,7"),
+        ("import x\n// SPDX-License-Identifier: MIT\nint y", "MIT", "26"), ("x\nReleased under\nthe MIT License\ny", "MIT", "1"), ("it is never released under the MIT License", "", ""), ("", "", ""),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["sentence_ids"]) for r in license_scan.scan(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
+    first = license_scan.scan(spark.createDataFrame([(0, "a. b\n\nReleased under the MIT License")], "doc_id long, text string")).first()
+    assert first["positions"] == "2"
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = []
