@@ -210,6 +210,11 @@ def test_cross_parsing(spark, docs):
     assert all(r["phrases"] == r["n_words"] and r["reference_words"] == 0 for r in none)
 
 
+def test_cross_parsing_without_reference(spark, docs):
+    none = cross_parsing.scores(docs, docs.limit(0)).collect()
+    assert all(r["cross_entropy"] is None and r["relative_entropy"] is None for r in none)
+
+
 def test_kdtree(spark):
     r = random.Random(3)
     rows = [(i, [float(r.randint(-3, 3)) for _ in range(4)]) for i in range(700)] + [(5, [1.0, 2.0, 3.0, 0.0]), (None, [1.0] * 4), (800, None), (801, [1.0, None, 1.0, 1.0]), (802, [1.0, float("nan"), 1.0, 1.0]), (803, []), (804, [1.0])]
