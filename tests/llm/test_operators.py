@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from codeloom.llm import cross_parsing, flac, kdtree, license_scan, packing, secret_scan, sentencepiece_codec, sharding, simhash, toxicity
 from codeloom.llm.components import connected_components
@@ -184,35 +185,63 @@ def lz(words):
     return n + bool(cur)
 
 
-def cross(words, refs):
-    n, i = 0, 0
+def split(t):
+    return [bytes(w) for w in re.findall(rb"[^\x20\x09-\x0d]+", text(t).encode().lower())]
+
+
+def occur(words, refs, lengths):
+    """Greedy phrases, each the longest n-gram of one of the lengths that a reference text holds; one word otherwise."""
+    grams = {n: {tuple(r[j : j + n]) for r in refs for j in range(len(r) - n + 1)} for n in lengths}
+    c = i = 0
     while i < len(words):
-        k = 0
-        while i + k < len(words) and any(words[i : i + k + 1] == r[j : j + k + 1] for r in refs for j in range(len(r))):
-            k += 1
-        n, i = n + 1, i + max(1, k)
-    return n
+        i += max((n for n in lengths if i + n <= len(words) and tuple(words[i : i + n]) in grams[n]), default=1)
+        c += 1
+    return c
 
 
 def test_cross_parsing(spark, docs):
-    for seed in range(20):
-        r = random.Random(seed)
-        refs = [[r.choice("abc") for _ in range(r.randint(0, 14))] for _ in range(3)]
-        own = [r.choice("abcd") for _ in range(r.randint(0, 25))]
-        a = cross_parsing.SuffixAutomaton()
-        for x in refs:
-            a.add(x)
-        assert a.phrases(own) == cross(own, refs) and cross_parsing.self_phrases(own) == lz(own)
-    got = cross_parsing.scores(docs, docs.where("doc_id % 2 = 0")).collect()
-    assert len(got) == len(ROWS)
-    assert all((r["cross_entropy"] is None) == (r["n_words"] == 0) and r["own_phrases"] <= r["n_words"] for r in got)
-    none = cross_parsing.scores(docs, docs.limit(0)).collect()
-    assert all(r["phrases"] == r["n_words"] and r["reference_words"] == 0 for r in none)
+    """Against brute force over the whole reference, whatever the chunks and partitions; matches of several hundred words."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abc") + rng.choice(["", "x"]) for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    long = [rng.choice(["Red", "blue", "green\t", "é"]) + str(rng.randint(0, 9)) for _ in range(900)]
+    rows += [(200 + i, " ".join(long[: 900 - 40 * i] + ["end"] * i)) for i in range(6)] + [(300 + i, " ".join(rng.choice(long) for _ in range(60))) for i in range(9)]
+    rows += [(400, None), (401, ""), (402, " \n"), (403, "z" * 400 + " a"), (403, "z" * 400 + " a"), (404, "Z" * 400 + "\na"), (None, "a b c"), (None, "a b c"), (1, rows[1][1])]
+    good = {i for i, _ in rows if i is not None and i % 3 == 1}
+    ladder = sorted({n for t in range(8) for n in cross_parsing.lengths(t)})
+    assert ladder[:14] == [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24]
+    words = [split(t) for _, t in rows]
+    want = []
+    for at, (i, _) in enumerate(rows):
+        refs = [w for k, w in enumerate(words) if k != at and rows[k][0] in good]
+        n, c, m = len(words[at]), occur(words[at], refs, ladder), sum(map(len, refs))
+        cross = c * np.log2(max(2, m)) / n if n else None
+        want.append((repr(i), n, c, lz(words[at]), m, cross if cross is None else round(cross, 9)))
+    reference = spark.createDataFrame([(i, "x") for i in sorted(good)] * 2 + [(None, "x"), (9999, "x")], "doc_id long, text string")
+    for parts, chunk_bytes in ((2, 1 << 20), (7, 700)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).withColumn("words", F.lit(1))
+        got = cross_parsing.scores(df, reference, chunk_bytes=chunk_bytes).collect()
+        assert sorted((repr(r[0]), *r[1:5], r[5] if r[5] is None else round(r[5], 9)) for r in got) == sorted(want, key=lambda x: (x[0], x[1:]))
+        assert all(r["relative_entropy"] is None or abs(r["relative_entropy"] - max(0, r["cross_entropy"] - r["own_phrases"] * np.log2(r["own_phrases"]) / r["n_words"])) < 1e-9 for r in got)
+        # A copy of a reference text stands apart; equal rows have equal scores.
+        assert {r["phrases"] for r in got if r["doc_id"] == 1} == {min(r["phrases"] for r in got if r["doc_id"] == 1)}
+
+
+def test_word_hashes():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["a", "B", "é", " ", "\n", "\x85", "q" * 9, "w" * 300]) for _ in range(rng.randint(0, 30))).encode() for _ in range(400)]
+    h, counts = cross_parsing.word_hashes(texts)
+    words = [w for t in texts for w in re.findall(rb"[^\x20\x09-\x0d]+", t.lower())]
+    assert counts.tolist() == [len(re.findall(rb"[^\x20\x09-\x0d]+", t)) for t in texts]
+    assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
 
 
 def test_cross_parsing_without_reference(spark, docs):
     none = cross_parsing.scores(docs, docs.limit(0)).collect()
+    assert len(none) == len(ROWS)
+    assert all(r["phrases"] == r["n_words"] and r["reference_words"] == 0 for r in none)
     assert all(r["cross_entropy"] is None and r["relative_entropy"] is None for r in none)
+    alone = cross_parsing.scores(docs.where("doc_id = 9"), docs).first()
+    assert alone["reference_words"] == 0 and alone["cross_entropy"] is None and alone["phrases"] == alone["n_words"] > 0
 
 
 def test_kdtree(spark):
