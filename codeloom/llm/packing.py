@@ -4,7 +4,8 @@ A document's ids and an end id are cut at every `length` ids; only the last piec
 hash into groups of about `GROUP_ROWS`; in each, pieces go by falling length into the first sequence that has room,
 which a tournament tree over the sequences' room finds in logarithmic time. What a task holds is one group's lengths.
 
-Null and empty texts give the end id alone. Repeated rows are packed one by one (the dealing hashes a row number, too, so
+An added token's literal in a text (`<|endoftext|>`) gives its one id, as the tokenizer file says. Null and empty texts give the
+end id alone. Repeated rows are packed one by one (the dealing hashes a row number, too, so
 no id can fill a group); an empty table gives no rows; columns beyond id and text are left out.
 """
 
@@ -25,7 +26,8 @@ LENGTH, END, GROUP_ROWS = 2048, 1, 8192
 
 
 class Tokenizer:
-    """ids of the tokenizer file. Texts within Latin-1 go through the faster reader of the same vocabulary, where both agree."""
+    """ids of the tokenizer file as it is, added tokens included. Texts within Latin-1 that hold no literal of an added token go
+    through the faster reader of the same vocabulary, where both agree."""
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
         import os
@@ -34,7 +36,8 @@ class Tokenizer:
         from tokenizers import Tokenizer as File
 
         self.file = File.from_file(path)
-        self.file.encode_special_tokens = True
+        #: Literals that the file reads as one added token; only its own reader knows their rules.
+        self.added = [t.content for t in self.file.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks_path:
             import base64
@@ -46,7 +49,7 @@ class Tokenizer:
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None:
+        if self.fast is not None and not any(literal in text for literal in self.added):
             try:
                 text.encode("latin-1")
                 return self.fast.encode_ordinary(text)

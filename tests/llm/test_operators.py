@@ -129,6 +129,16 @@ def test_links_lose_no_component(spark):
     assert [got.get(f, f) for f in signed] == comp.tolist()
 
 
+def test_hot_entries_are_divided(spark):
+    """Thousands of fingerprints of one half and a single one of a neighbouring half, which all of them probe."""
+    rng = random.Random(3)
+    fps = [(5 << 32 | rng.getrandbits(32),) for _ in range(40_000)] + [(4 << 32 | rng.getrandbits(32),)]
+    members = simhash.divided(simhash.entries(spark.createDataFrame(sorted(set(fps)), "fp long")))
+    sizes = members.where("table = 0").groupBy("key", "part").count()
+    assert sizes.where("key = 4").agg(F.sum("count")).first()[0] >= 40_000
+    assert sizes.agg(F.max("count")).first()[0] < 50
+
+
 def test_similar_texts(spark):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
@@ -360,7 +370,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = packing.pack_documents(docs, keep_ids=True).collect()
     by = {}
     for r in got:
@@ -382,6 +391,16 @@ def test_packing(docs):
         assert ids == tok.encode(dict(ROWS)[i], add_special_tokens=False).ids + [1]
 
 
+def test_packing_reads_added_tokens_as_the_file_does(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "中 <|endoftext|>文", "<|endoftext", "é <|endoftext|>\n"]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_ids=True).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in got} == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert 50256 in got[0]["ids"] or any(50256 in r["ids"] for r in got)
+
+
 def test_first_fit_decreasing():
     for seed in range(30):
         r = random.Random(seed)
