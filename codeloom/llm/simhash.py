@@ -5,9 +5,9 @@ bit of one of the halves, so each half probes the table of its own kind with the
 one, and every match is verified over all 64 bits. Equal fingerprints are merged before that. Matches are united within
 their table entry (each linked to one other of its class, never all pairs), and the links' components are the groups.
 
-An entry that many different fingerprints share (near copies of one text) is divided further: among those that agree in
-one half and differ in at most three bits of the other, some byte of the other half agrees, so its members are handled
-by that byte. This loses no link.
+An entry that many different fingerprints share or probe (near copies of one text) is divided further: among those that
+differ in at most three bits of the other half, one of its four bytes agrees, or two of five pieces, three of six, five of
+eight; the more members, the finer the pieces. This loses no link.
 
 Null and wordless texts have fingerprint zero and are linked like any other. Repeated rows keep their own result rows,
 an empty table gives none; columns beyond id and text are left out.
@@ -16,6 +16,7 @@ an empty table gives none; columns beyond id and text are left out.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from .common import checkpointed, small_batches, strings, table
 from .components import connected_components
 
 RADIUS = 3
-#: Table entries with more members than this are divided by a byte of the other half.
-DIVIDE_OVER = 512
+#: Table entries with more members than this are divided by pieces of the other half, so many of them.
+DIVISIONS = [(512, 4), (1 << 15, 5), (1 << 19, 6), (1 << 22, 8)]
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -137,17 +138,36 @@ def linked(keyed: DataFrame, radius: int, words: int = 1) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fps(fp), distinct -> links(u, v) with the components of all pairs within the radius (three at most)."""
+    return linked(divided(entries(fps)), radius)
+
+
+def entries(fps: DataFrame) -> DataFrame:
+    """-> (table, key, node): every fingerprint under its own halves, and under those at one bit from them that some other has."""
     halves = F.array(F.struct(F.lit(0).alias("table"), F.shiftrightunsigned("fp", 32).alias("key")), F.struct(F.lit(1).alias("table"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("key")))
     stored = fps.select("fp", F.inline(halves))
-    entries = stored.groupBy("table", "key").agg(F.count("*").alias("n"))
+    known = stored.select("table", "key").distinct()
     flips = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
     probes = stored.select("fp", "table", "key", F.explode(flips).alias("flip")).select("fp", "table", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
     # Only probes that meet a table entry go on; both sides are spread over the 2**32 values of a half.
-    members = stored.union(probes.select("fp", "table", "key")).join(entries, ["table", "key"])
-    other = F.when(F.col("table") == 0, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32))
-    bytes_ = F.array(*[(F.shiftrightunsigned(other, 8 * i).bitwiseAND(255) + 256 * (i + 1)).cast("int") for i in range(4)])
-    parts = F.explode(F.when(F.col("n") > DIVIDE_OVER, bytes_).otherwise(F.array(F.lit(0)))).alias("part")
-    return linked(members.select("table", "key", F.col("fp").alias("node"), parts), radius)
+    return stored.union(probes.select("fp", "table", "key")).join(known, ["table", "key"]).select("table", "key", F.col("fp").alias("node"))
+
+
+def divided(members: DataFrame) -> DataFrame:
+    """members with the column `part`; entries of many members, probes included, are parted by bits of the other half.
+
+    Of m pieces of that half three differing bits leave m - 3 equal, so each member goes under every choice of m - 3 pieces.
+    """
+    members = checkpointed(members)
+    counts = members.groupBy("table", "key").agg(F.count("*").alias("n"))
+    other = F.when(F.col("table") == 0, F.col("node").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("node", 32))
+    choices, number = F.array(F.lit(0).cast("long")), 1
+    for over, pieces in DIVISIONS:
+        cuts = [32 * i // pieces for i in range(pieces + 1)]
+        masks = [sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in own) for own in combinations(range(pieces), pieces - RADIUS)]
+        parts = [other.bitwiseAND(m).bitwiseOR(F.lit((number + i) << 32).cast("long")) for i, m in enumerate(masks)]
+        number += len(masks)
+        choices = F.when(F.col("n") > over, F.array(*parts)).otherwise(choices)
+    return members.join(counts, ["table", "key"]).select("table", "key", "node", F.explode(choices).alias("part"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
