@@ -4,7 +4,9 @@ Rows are put in the order of their text's digest, then id: equal texts lie side
 (sampled, so a hot text or id is spread over several) each sum up their sizes; sums over the partitions before, plus the
 running sum within, give every row's byte offset, and the shard is its place between equal cuts of the total. The rows of
 equal texts that a cut would part go together to the side that holds the middle of them, if they're at most 1/GROUP_SHARE of
-a shard; there are no more such groups than cuts. Slots are row numbers within the shard, from the same kind of sums.
+a shard; there are no more such groups than cuts. The law is near equal bytes: a group kept whole moves a cut by half its size
+at most, so no shard is off by more than 1/GROUP_SHARE of its target, while whole groups up to a shard's size would leave
+shards of half and of one and a half targets. Slots are row numbers within the shard, from the same kind of sums.
 
 A row's size is its text's UTF-8 bytes (none for null) plus 1, so it's never zero. Repeated rows each get their own slot, an
 empty table gives no rows; columns beyond id and text are left out.
