@@ -107,13 +107,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: id, score, and the columns named in `keep` as they are (of any type and name but __score)."""
+    """Per row: score, and the id or the columns named in `keep` as they are (of any type and name but __score).
+
+    text_col may be a field of a kept struct (`box.text`), which then isn't sent twice.
+    """
     small_batches(docs.sparkSession)
     at = np.flatnonzero(model[0]).astype("<u4") if model else np.zeros(0, "<u4")
     sent = docs.sparkSession.sparkContext.broadcast((at, model[0][at] if model else np.zeros(0), model[1] if model else None))
     kept = keep if keep is not None else [id_col]
-    sent_columns = kept if text_col in kept else [*kept, text_col]
-    at_text = sent_columns.index(text_col)
+    outer, _, inner = text_col.partition(".")
+    sent_columns = kept if outer in kept else [*kept, outer]
+    at_text, at_field = sent_columns.index(outer), docs.schema[outer].dataType.fieldNames().index(inner) if inner else None
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("__score", "double")
 
     def run(batches):
@@ -123,7 +127,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, id_col: str =
         useful = weights != 0
         for batch in batches:
             scores = []
-            for text in strings(batch.column(at_text)):
+            texts = batch.column(at_text)
+            for text in strings(texts if at_field is None else texts.field(at_field)):
                 if bias is None:
                     scores.append(0.0)
                     continue
