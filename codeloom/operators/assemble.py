@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.scalar import token_estimate
 
@@ -58,14 +59,19 @@ def merge_siblings(chunks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: So many of the best candidates are looked at.
+MOST_CANDIDATES = 400
+
+
 def pack_budget(candidates: DataFrame, budget: int) -> DataFrame:
-    """candidates(id, path, start_line, end_line, token_count, score), some hundreds -> (position, id, token_count).
+    """candidates(id, path, start_line, end_line, token_count, score), the best MOST_CANDIDATES of them -> (position, id, token_count).
 
     By falling score: one that lies by more than half of its lines within a chosen chunk of its path is left out; one that
     fits is taken; the first one is cut to the budget, a later one that doesn't fit is taken whole and ends the list.
     """
     item = F.struct((-F.col("score")).alias("o"), "id", "path", "start_line", "end_line", "token_count")
-    one = candidates.agg(F.array_sort(F.collect_list(item)).alias("all"))
+    best = candidates.orderBy(F.desc("score"), "id").limit(MOST_CANDIDATES)
+    one = best.agg(F.array_sort(F.collect_list(item)).alias("all"))
     empty = F.expr("cast(array() as array<struct<id:bigint,path:string,start_line:int,end_line:int,token_count:int>>)")
 
     def step(a: Column, c: Column) -> Column:
@@ -80,6 +86,30 @@ def pack_budget(candidates: DataFrame, budget: int) -> DataFrame:
     return one.select(F.posexplode(folded).alias("position", "c")).select("position", "c.id", "c.token_count")
 
 
+def fallback(files: DataFrame, budget: int) -> DataFrame:
+    """files(path, tok, ...) -> what fits the budget in the order of paths, the last one cut: with token_count, and score 0.1.
+
+    A file of no tokens costs nothing, so only others bound how many can be taken: so many paths reach one task, the least first.
+    """
+    taken = files.where("tok > 0").orderBy("path").limit(budget + 1)
+    before = F.coalesce(F.sum("tok").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return taken.withColumn("__before", before).where(F.col("__before") < budget).withColumn("token_count", F.least(F.col("tok"), budget - F.col("__before")).cast("int")).withColumn("score", F.lit(0.1)).drop("__before", "tok")
+
+
+def merged_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits(chunk_id, score) hydrated, the parts of a split symbol (same path, symbol and kind) as one, with the best part's score.
+
+    The first part's chunk_id stands for them.
+    """
+    keys = ["path", "symbol_name", "kind"]
+    scored = chunks.join(hits, "chunk_id")
+    named = scored.where("symbol_name is not null and symbol_name <> ''")
+    parts = chunks.join(named.select(*keys).distinct(), keys, "left_semi").join(hits, "chunk_id", "left")
+    merged = merge_siblings(parts, keys).join(parts.groupBy(*keys).agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id")), keys)
+    columns = ["chunk_id", *keys, "start_line", "end_line", F.col("token_count").cast("int").alias("token_count"), "score", "content"]
+    return scored.where("symbol_name is null or symbol_name = ''").select(*columns).unionByName(merged.select(*columns))
+
+
 def expand(neighbours: DataFrame, left: int, share: int = 30) -> DataFrame:
     """neighbours(id, token_count, score) of what was packed -> (position, id): by falling score, each one that still fits
     into that share (per cent) of the tokens left."""

@@ -26,6 +26,16 @@ def resolve(edges: DataFrame, symbols: DataFrame, same_file: bool = True) -> tup
     return found.where("dst is not null").select("src", "dst", "kind").distinct(), found.where("dst is null").drop("dst")
 
 
+def lookup(names: DataFrame, symbols: DataFrame, pending: DataFrame) -> DataFrame:
+    """names(name) -> (symbol_id, name, role): a name's definitions; only where no symbol has the name at all, its callers by
+    pending edges(src, dst_name)."""
+    names = names.distinct()
+    defined = symbols.join(names, "name", "left_semi").select("symbol_id", "name", F.lit("definition").alias("role"))
+    unknown = names.join(symbols.select("name"), "name", "left_anti")
+    callers = pending.select(F.col("src").alias("symbol_id"), F.col("dst_name").alias("name")).join(unknown, "name", "left_semi").distinct()
+    return defined.unionByName(callers.withColumn("role", F.lit("referenced_by")))
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, direction: str) -> DataFrame:
     """edges(src, dst), seeds(seed) -> (seed, node), distinct; a seed is its own neighbour where a cycle reaches it.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,36 +34,106 @@ def changed(scanned: DataFrame, known: DataFrame, key: str = "path") -> DataFram
     return scanned.join(old, key, "left").where(~F.col("content_hash").eqNullSafe(F.col("__old"))).drop("__old")
 
 
+def update_parents(chunks: DataFrame, parents: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """chunks whose parent is taken from parents(key, parent) where that has one."""
+    new = parents.groupBy(key).agg(F.min("parent").alias("__parent"))
+    return chunks.join(new, key, "left").withColumn("parent", F.coalesce("__parent", "parent")).drop("__parent")
+
+
 class Store:
-    """Parquet snapshots under one root: <table>/v<N>, and a pointer file with each table's version."""
+    """Parquet tables under one root of any Hadoop file system, and a pointer file that names each table's folders.
+
+    Tables with a path are kept in PARTS parts by its hash, so a commit writes the parts that changed alone; logs grow by a
+    folder a commit. Folders that the pointer no longer names stay for one more commit, for those who still read them.
+    """
+
+    PARTS = 16
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
+        self.fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(self._path())
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
 
     @property
-    def versions(self) -> dict[str, int]:
+    def pointer(self) -> dict:
+        """{"serial": number of commits, "tables": {name: {part: folder}}, "old": folders that went out of use last}"""
+        if not self.fs.exists(self._path("CURRENT.json")):
+            return {"serial": 0, "tables": {}, "old": []}
+        stream = self.fs.open(self._path("CURRENT.json"))
         try:
-            with open(f"{self.root}/CURRENT.json") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {}
-
-    def read(self, table: str) -> DataFrame | None:
-        v = self.versions.get(table)
-        return None if v is None else self.spark.read.parquet(f"{self.root}/{table}/v{v}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """All or nothing: tables are written beside what is read, then the pointer is replaced."""
-        versions = self.versions
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _point(self, pointer: dict) -> None:
+        stream = self.fs.create(self._path("CURRENT.tmp"), True)
+        stream.write(bytearray(json.dumps(pointer).encode()))
+        stream.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(self.fs.makeQualified(self._path("CURRENT.tmp")), self.fs.makeQualified(self._path("CURRENT.json")), how)
+
+    def read(self, table: str, parts: list[int] | None = None) -> DataFrame | None:
+        """The table, or some parts of it; None if there's none (an empty table if only the parts are missing)."""
+        folders = self.pointer["tables"].get(table)
+        if folders is None:
+            return None
+        chosen = [f for p, f in folders.items() if parts is None or p in {str(x) for x in parts}]
+        if not chosen:
+            return self.spark.read.parquet(f"{self.root}/{next(iter(folders.values()))}").limit(0)
+        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in chosen])
+
+    @classmethod
+    def part(cls, path: str = "path"):
+        return F.pmod(F.xxhash64(path), F.lit(cls.PARTS)).cast("int")
+
+    def commit(self, tables: dict[str, DataFrame], parts: list[int] | None = None, append: tuple[str, ...] = ()) -> None:
+        """All or nothing: folders are written beside what is read, then the pointer is replaced.
+
+        Tables are replaced whole; with `parts`, those with a path only in these parts, of which df holds all rows; those in
+        `append` get df's rows besides what they have.
+        """
+        pointer = self.pointer
+        serial, tables_now, out_of_use = pointer["serial"] + 1, {k: dict(v) for k, v in pointer["tables"].items()}, []
         for name, df in tables.items():
-            versions[name] = versions.get(name, 0) + 1
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{versions[name]}")
-        with open(f"{self.root}/CURRENT.tmp", "w") as f:
-            json.dump(versions, f)
-        os.replace(f"{self.root}/CURRENT.tmp", f"{self.root}/CURRENT.json")
+            own = tables_now.get(name, {})
+            if name in append:
+                df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{serial}")
+                tables_now[name] = own | {f"v{serial}": f"{name}/v{serial}"}
+            elif parts is not None and "path" in df.columns and name in tables_now and "whole" not in own:
+                df.withColumn("__part", self.part()).repartition("__part").write.mode("overwrite").partitionBy("__part").parquet(f"{self.root}/{name}/v{serial}")
+                out_of_use += [f for p, f in own.items() if int(p) in parts]
+                kept = {p: f for p, f in own.items() if int(p) not in parts}
+                tables_now[name] = kept | self._parts(name, serial) or self._empty(name, serial, df.schema)
+            elif "path" in df.columns:
+                df.withColumn("__part", self.part()).repartition("__part").write.mode("overwrite").partitionBy("__part").parquet(f"{self.root}/{name}/v{serial}")
+                out_of_use += own.values()
+                tables_now[name] = self._parts(name, serial) or self._empty(name, serial, df.schema)
+            else:
+                df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{serial}")
+                out_of_use += own.values()
+                tables_now[name] = {"whole": f"{name}/v{serial}"}
+        self._point({"serial": serial, "tables": tables_now, "old": out_of_use})
+        for folder in pointer["old"]:
+            self.fs.delete(self._path(folder), True)
+
+    def _parts(self, name: str, serial: int) -> dict[str, str]:
+        return {str(p): f"{name}/v{serial}/__part={p}" for p in range(self.PARTS) if self.fs.exists(self._path(f"{name}/v{serial}/__part={p}"))}
+
+    def _empty(self, name: str, serial: int, schema) -> dict[str, str]:
+        """A table without rows still has its columns."""
+        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{name}/v{serial}/__part=0")
+        return {"0": f"{name}/v{serial}/__part=0"}
 
     def purge(self) -> None:
-        with open(f"{self.root}/CURRENT.tmp", "w") as f:
-            json.dump({}, f)
-        os.replace(f"{self.root}/CURRENT.tmp", f"{self.root}/CURRENT.json")
+        """No tables, and no files of them."""
+        pointer = self.pointer
+        self._point({"serial": pointer["serial"], "tables": {}, "old": []})
+        for name in pointer["tables"]:
+            self.fs.delete(self._path(name), True)

@@ -19,6 +19,13 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id"
     return sound.select(id_col, F.round(cosine(v, asked), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def sound(vectors: DataFrame, vector_col: str) -> DataFrame:
+    """Rows whose vectors have no fault; the length that most have (the least of several) is asked for."""
+    v = F.col(vector_col)
+    most = vectors.where(v.isNotNull()).groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return vectors.where(vector_fault(v, most["d"] if most else 0).isNull())
+
+
 def health(vectors: DataFrame, dims: int, vector_col: str = "embedding") -> DataFrame:
     return vectors.select(F.coalesce(vector_fault(F.col(vector_col), dims), F.lit("ok")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -27,7 +34,9 @@ def knn_join(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str
     """(id, rank, neighbour, score): each vector's k best cosines among the others.
 
     Rows are dealt into blocks; every pair of blocks is one matrix product of bounded size, joined on the block's number.
+    Vectors with a fault, or of another length than most, take no part.
     """
+    vectors = sound(vectors, vector_col)
     n = vectors.count()
     blocks = max(1, -(-n // block_rows))
     dealt = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -63,12 +72,13 @@ def knn_join(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str
 
 
 def ivf_index(vectors: DataFrame, lists: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 10_000, seed: int = 7):
-    """Coarse centroids fitted on a bounded sample (`sample` rows by hash of the id), and every row's list."""
+    """Coarse centroids fitted on a bounded sample (`sample` rows by hash of the id), and every sound row's list."""
+    vectors = sound(vectors, vector_col)
     rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector_col).toPandas()
-    points = np.stack(rows[vector_col].to_numpy()).astype(float)
+    points = np.stack(rows[vector_col].to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
-    centres = points[np.random.default_rng(seed).choice(len(points), min(lists, len(points)), replace=False)]
-    for _ in range(10):
+    centres = points[np.random.default_rng(seed).choice(len(points), min(lists, len(points)), replace=False)] if len(points) else np.zeros((1, 1))
+    for _ in range(10 if len(points) else 0):
         own = np.argmax(points @ centres.T, axis=1)
         for c in range(len(centres)):
             if (own == c).any():
@@ -91,6 +101,36 @@ def ivf_top_k(index, query: list[float], k: int, probes: int, id_col: str = "vec
     return top_k(listed.where(F.col("list").isin([int(x) for x in near])), query, k, id_col, vector_col)
 
 
+def ivf_search(index, queries: DataFrame, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, rank, neighbour, score) of many queries at once: each is sent to its `probes` nearest lists and joined on the list."""
+    centres, listed = index
+
+    def asked(frames):
+        for frame in frames:
+            p = np.stack(frame[vector_col].to_numpy()).astype(float) if len(frame) else np.zeros((0, centres.shape[1]))
+            near = np.argsort(-(p @ centres.T), axis=1)[:, :probes].astype("int32")
+            out = frame.loc[frame.index.repeat(near.shape[1])].reset_index(drop=True)
+            yield out.assign(list=near.ravel())
+
+    kind = queries.schema[id_col].dataType.simpleString()
+    q = sound(queries, vector_col).select(id_col, vector_col).mapInPandas(asked, f"{id_col} {kind}, {vector_col} array<float>, list int")
+    pairs = q.select(F.col(id_col).alias("q"), F.col(vector_col).alias("qv"), "list").join(listed, "list").where(F.col("q") != F.col(id_col))
+    scored = pairs.select(F.col("q"), F.col(id_col).alias("neighbour"), F.round(cosine(F.col(vector_col), F.col("qv")), 6).alias("score"))
+    best = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "neighbour"))
+    return scored.withColumn("rank", best).where(F.col("rank") <= k).select(F.col("q").alias(id_col), F.col("rank").cast("int").alias("rank"), "neighbour", "score")
+
+
+def upsert_vectors(base: DataFrame, new: DataFrame, dims: int, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """base with new vectors in place of those of the same id; of several of one id the last given counts. Faulty ones are left out."""
+    good = new.where(vector_fault(F.col(vector_col), dims).isNull())
+    one = good.withColumn("__at", F.monotonically_increasing_id()).groupBy(id_col).agg(F.max_by(vector_col, "__at").alias(vector_col))
+    return base.select(id_col, vector_col).join(one.select(id_col), id_col, "left_anti").unionByName(one)
+
+
+def delete_vectors(base: DataFrame, gone: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    return base.join(gone.select(id_col), id_col, "left_anti")
+
+
 def missing(flagged: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Flagged as embedded, but without a vector."""
     return flagged.join(stored.select(key), key, "left_anti")

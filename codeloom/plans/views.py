@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import new_folder
 from ..functions.scalar import token_estimate
+from ..operators.text import Index
 
 LINES = 4
 
@@ -55,6 +57,22 @@ def diffs(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(lines, F.col("diff_id") == F.col("l_orderkey")).drop("l_orderkey")
 
 
+#: Full-text indexes of this process: (application, folder, file's size and time) -> where it is stored.
+INDEXES: dict[tuple, str] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> Index:
+    """The stored full-text index over `documents`, built on first use, and again when the file changes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    key = spark.sparkContext.applicationId, d, status.getLen(), status.getModificationTime()
+    if key not in INDEXES:
+        path = new_folder(spark)
+        Index.build(files(spark, d).select("doc_id", "path", "is_test", "text"), path, keep=["path", "is_test"])
+        INDEXES[key] = path
+    return Index(spark, INDEXES[key])
+
+
 CTE = {
     "files": """files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '_test' ELSE '' END || '.txt' AS path,
  lang AS language, doc_id % 10 = 0 AS is_test, source, text, n_chars FROM documents)""",

@@ -42,15 +42,29 @@ def language(path: Column) -> Column:
     return F.element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
 
 
+def is_binary(content: Column) -> Column:
+    """Whether there's a zero among the first SNIFF bytes."""
+    return F.hex(F.substring(content, 1, SNIFF)).rlike("^(?:..)*?00")
+
+
 def scan(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
     """(path, language, size, mtime, content_hash, content): source files below root that aren't hidden, skipped, ignored,
     binary or too large. The glob, the size and the path filters are applied before contents are read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
+    return sources(raw, root, patterns).drop("ts")
+
+
+GLOB = "*.{" + ",".join(LANGUAGES) + "}"
+
+
+def sources(raw: DataFrame, root: str, patterns: list[str] = ()) -> DataFrame:
+    """The files of a read or a stream of binary files that count, with the time of their last change as `ts`."""
     base = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
     path = F.expr(f"substring(regexp_replace(path, '^file:/*', '/'), {len(base) + 1})")
     rows = raw.where(F.col("length") <= MOST_BYTES).withColumn("path", path)
     skip = reduce(lambda a, b: a | b, [F.col("path").rlike(f"(^|/){re.escape(n)}/") for n in SKIPPED], F.col("path").rlike(r"(^|/)\.[^/]"))
     rows = rows.where(~skip & ~ignored(F.col("path"), list(patterns)))
-    text = F.decode("content", "utf-8")
-    rows = rows.where(F.instr(F.hex(F.substring("content", 1, SNIFF)), "00") % 2 == 0)
-    return rows.select("path", language(F.col("path")).alias("language"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.sha2("content", 256).alias("content_hash"), text.alias("content"))
+    # Bytes that aren't UTF-8 become replacement characters, so one such file doesn't end the scan.
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    rows = rows.where(~is_binary(F.col("content")))
+    return rows.select("path", language(F.col("path")).alias("language"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.sha2("content", 256).alias("content_hash"), text.alias("content"), F.col("modificationTime").alias("ts"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codeloom import config, schemas
 from codeloom.api import Engine, duration
+from codeloom.functions import embed, render
 from codeloom.functions import scalar as fn
 from codeloom.functions.embed import hashing, with_embedding
 from codeloom.operators import assemble, graph, rank, store, temporal, text, vector
@@ -136,7 +137,7 @@ def test_store(spark, tmp_path):
     s.commit({"files": a})
     b = store.upsert(s.read("files"), spark.createDataFrame([("q", "h3"), ("r", "h4")], a.schema), ["path"])
     s.commit({"files": b})
-    assert {r[0]: r[1] for r in s.read("files").collect()} == {"p": "h1", "q": "h3", "r": "h4"} and s.versions == {"files": 2}
+    assert {r[0]: r[1] for r in s.read("files").collect()} == {"p": "h1", "q": "h3", "r": "h4"} and s.pointer["serial"] == 2
     assert [r["path"] for r in store.changed(b, a, "path").orderBy("path").collect()] == ["q", "r"]
     s.purge()
     assert s.read("files") is None
@@ -212,8 +213,11 @@ def test_index_and_ask(spark, tmp_path):
     (root / "node_modules/a.js").write_text("function no() {}\n")
     (root / "app/bin.py").write_bytes(b"\x00\x01binary")
     e = Engine(spark, str(tmp_path / "store"))
-    assert e.index(str(root)) == {"changed": 2, "deleted": 0, "errors": 0}
-    assert e.index(str(root)) == {"changed": 0, "deleted": 0, "errors": 0}
+    (root / "app/nul.py").write_bytes(b"0\n\x00\x01")
+    (root / "app/latin.py").write_bytes(b"# caf\xe9\ndef cafe():\n    pass\n")
+    assert e.index(str(root)) == {"changed": 3, "deleted": 0, "errors": 0, "embedded": 4}
+    serial = e.store.pointer["serial"]
+    assert e.index(str(root)) == {"changed": 0, "deleted": 0, "errors": 0} and e.store.pointer["serial"] == serial
     found = e.search("hash token", min_score=0.0, record=False).collect()
     assert found and all("tests/" not in r["path"] for r in found)
     assert {r["name"] for r in e.dependencies("hash_token", "callers", 1, "all").collect()} == {"login", "test_hash"}
@@ -221,7 +225,8 @@ def test_index_and_ask(spark, tmp_path):
     assert [r["role"] for r in e.symbols("hash_token").collect()] == ["definition"]
     (root / "app/auth.py").write_text("def hash_token(t, salt):\n    return digest(t)\n")
     os.remove(root / "app/tests/test_auth.py")
-    assert e.index(str(root)) == {"changed": 1, "deleted": 1, "errors": 0}
+    assert e.index(str(root)) == {"changed": 1, "deleted": 1, "errors": 0, "embedded": 1}
+    assert not e.search("login", min_score=0.0, scope="all", record=False).where("symbol_name = 'login'").count()  # its postings are dead
     log = {(r["path"], r["change"]) for r in e.diff("1h", scope="all").collect()}
     assert ("app/tests/test_auth.py", "delete") in log and ("app/auth.py", "modify") in log
     assert any("hash_token (signature_changed)" in (r["affected"] or []) for r in e.diff("1h").collect())
@@ -229,6 +234,114 @@ def test_index_and_ask(spark, tmp_path):
         e.search("x", max_results=0)
 
 
+def tree(root, files):
+    for name, body in files.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "w") as f:
+            f.write(body)
+
+
+def test_search_merges_the_parts_of_a_symbol(spark, tmp_path):
+    long = "def large(x):\n" + "".join(f"    gamma_{i} = compute_gamma({i}, x)\n" for i in range(400))
+    tree(tmp_path / "p", {"a.py": long, "b.py": "def compute_gamma(i, x):\n    return small_helper(i) + x\n\ndef small_helper(i):\n    return i\n"})
+    e = Engine(spark, str(tmp_path / "s"))
+    e.index(str(tmp_path / "p"))
+    assert e.store.read("chunks").where("symbol_name = 'large'").count() > 1
+    found = e.search("compute_gamma gamma_7", 10, 0.0, record=False).where("symbol_name = 'large'").collect()
+    assert len(found) == 1 and (found[0]["start_line"], found[0]["end_line"]) == (1, 401) and found[0]["content"].count("compute_gamma(") == 400
+    got = e.context("compute_gamma", 300).collect()
+    assert got[0]["position"] == 0 and sum(r["token_count"] for r in got) <= 300 + max(r["token_count"] for r in got)
+    package = e.context_package("compute_gamma", 4096)
+    assert package["strategy"] == "hybrid" and package["total_tokens"] == sum(c["token_count"] for c in package["chunks"]) > 0
+    scores = {r["query"]: r for r in e.evaluate([{"query": "small_helper", "files": ["b.py"], "symbols": ["small_helper"]}, {"query": "absent_word", "files": ["z.py"]}]).collect()}
+    assert scores["small_helper"]["rr"] >= 0.5 and scores["small_helper"]["recall"] >= 0.5 and scores["absent_word"]["recall"] == 0.0 and set(scores) == {"small_helper", "absent_word", "mean"}
+    assert render.text(e.symbols("small_helper"), "symbols") == "function small_helper  b.py:4"
+    assert json.loads(render.as_json(e.symbols("small_helper")))[0]["path"] == "b.py"
+    assert render.text(e.dependencies("small_helper", "callers", 1), "dependencies") == "function compute_gamma  b.py:1"
+    assert render.text(e.summary(), "summary").startswith("2 files") and "a.py" in render.text(e.diff(), "diff")
+    assert e.search("gamma", record=False).count() and "score:" in render.text(e.search("gamma", 5, 0.0, record=False), "locate")
+    assert render.text(e.context("small_helper"), "context").startswith("--- ")
+    pages, after = [], None
+    while page := [r[0] for r in e.embed_page(after, 2, done=True).collect()]:
+        pages, after = pages + page, page[-1]
+    assert pages == sorted(r[0] for r in e.store.read("embeddings").select("chunk_id").collect()) and e.embed_page().count() == 0
+
+
+def test_without_an_index_files_answer(spark, tmp_path):
+    tree(tmp_path / "p", {"a.py": "x = 1\n" * 100, "b.py": "y = 2\n" * 10_000, "c.py": "z = 3\n"})
+    e = Engine(spark, str(tmp_path / "s"), config.Config(root=str(tmp_path / "p"), token_budget=512))
+    assert e.level() == "filesystem"
+    found = e.search("anything", record=False).collect()
+    assert [(r["path"], r["token_count"]) for r in found] == [("a.py", 150), ("b.py", 362)] and all(r["score"] == 0.1 for r in found)
+    assert [r["path"] for r in e.context("anything", 256).collect()] == ["a.py", "b.py"]
+
+
+def test_projects_and_settings_are_kept_apart(spark, tmp_path):
+    tree(tmp_path / "p", {"a.py": "def one():\n    return 1\n"})
+    tree(tmp_path / "q", {"a.py": "def two():\n    return 2\n"})
+    p, q = (Engine(spark, str(tmp_path / "s"), project=x) for x in ("p", "q"))
+    assert (p.project_id, q.project_id, Engine(spark, str(tmp_path / "s"), project="p").project_id) == (1, 2, 1)
+    p.index(str(tmp_path / "p"))
+    q.index(str(tmp_path / "q"))
+    assert [r["name"] for r in p.symbols("one").collect()] == ["one"] and p.symbols("two").count() == 0 and q.symbols("two").count() == 1
+    p.set("k", "1")
+    p.set("k", "2")
+    assert (p.get("k"), p.get("source"), q.get("k"), q.get("k", "0")) == ("2", str(tmp_path / "p"), None, "0")
+    p.purge()
+    assert p.store.read("files") is None and q.store.read("files").count() == 1
+    assert not os.path.exists(f"{p.store.root}/chunks")
+
+
+def test_embedding_survives_a_poor_embedder(spark, tmp_path):
+    calls = []
+
+    def poor(texts):
+        calls.append(len(texts))
+        if any("poison" in t for t in texts):
+            raise embed.Refused("poison")
+        if len(texts) > 2:
+            raise OSError("too many")
+        return hashing(texts)
+
+    found = embed.patiently(poor, ["a", "b", "poison", "c", "d"])
+    assert [e is None for _, e in found] == [True, True, False, True, True] and "refused" in found[2][1]
+    assert [v is None for v, _ in embed.patiently(lambda t: (_ for _ in ()).throw(RuntimeError("down")), ["a", "b"])] == [True, True]
+    assert embed.query_vector("hash token") is embed.query_vector("hash token")
+
+
+def test_following_a_folder(spark, tmp_path):
+    tree(tmp_path / "p", {"a.py": "def one():\n    return 1\n"})
+    e = Engine(spark, str(tmp_path / "s"))
+    e.follow(str(tmp_path / "p"), str(tmp_path / "cp")).awaitTermination(120)
+    assert [r["path"] for r in e.symbols("one").collect()] == ["a.py"]
+    tree(tmp_path / "p", {"deep/er/b.py": "def two():\n    return one()\n", ".hidden/c.py": "def three(): pass\n", "d.txt": "none"})
+    e.follow(str(tmp_path / "p"), str(tmp_path / "cp")).awaitTermination(120)
+    assert {r["path"] for r in e.store.read("files").collect()} == {"a.py", "deep/er/b.py"}
+    assert {r["name"] for r in e.dependencies("one", "callers", 1).collect()} == {"two"}
+    assert e.embed() == {"embedded": 2, "refused": 0} and e.level() == "hybrid"
+
+
+def test_store_writes_changed_parts_alone(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([(f"f{i}", i) for i in range(60)], "path string, n long")
+    s.commit({"t": rows, "log": rows.limit(1)})
+    before = s.pointer["tables"]["t"]
+    part = rows.where("path = 'f7'").select(s.part()).first()[0]
+    s.commit({"t": s.read("t", [part]).withColumn("n", F.col("n") + 100), "log": rows.limit(2)}, parts=[part], append=("log",))
+    after = s.pointer["tables"]["t"]
+    assert {p for p in after if after[p] != before[p]} == {str(part)}
+    assert s.read("t").count() == 60 and s.read("t").where("path = 'f7'").first()["n"] == 107 and s.read("log").count() == 3
+    s.commit({"t": s.read("t", [part]).limit(0)}, parts=[part])
+    assert s.read("t").count() == 60 - spark.createDataFrame([(f"f{i}",) for i in range(60)], "path string").where(s.part() == part).count()
+    assert not os.path.exists(tmp_path / before[str(part)]) and s.read("none") is None
+
+
+def test_parents(spark):
+    c = spark.createDataFrame([(1, None), (2, 5), (3, 6)], "chunk_id long, parent long")
+    new = spark.createDataFrame([(1, 9), (2, 8), (2, 7)], "chunk_id long, parent long")
+    assert {r[0]: r[1] for r in store.update_parents(c, new).select("chunk_id", "parent").collect()} == {1: 9, 2: 7, 3: 6}
+
+
 def test_embedder(spark):
     assert (hashing(["a b", "a b"])[0] == hashing(["a b"])[0]).all()
     got = with_embedding(spark.createDataFrame([("hello world",), (None,)], "t string"), "t").collect()
