@@ -1,11 +1,15 @@
-"""Secret scans through a trigram index, with DataFrame functions alone.
+"""Secret scans by trigram queries, with DataFrame functions alone.
 
 From each rule's regular expression a Boolean query over trigrams (lower case) is derived: every text that matches holds
-them. The index has, for each trigram that some query uses, one bit a document (its postings as a bitmap, laid out by
-document, so that candidates needn't be joined back to their texts). Postings are intersected and united as the query
-says, and only candidate documents are verified by the expression. Rules without a mandatory trigram scan all documents.
+them. Candidates are the documents whose trigrams meet the query, and only they are verified by the expression. Rules
+without a mandatory trigram scan all documents.
 
-Spans come from the texts between and within matches: their lengths in code points, summed up.
+The trigrams that some query uses are kept as one bit each beside their document: posting bitmaps laid out by document, not
+lists by trigram. Lists would have to be joined back to the texts, which shuffles the whole corpus, and as one base rule
+(`hex`) has no mandatory trigram every text is read in any case; so the index saves verification, not reading.
+
+Spans come from the texts between and within matches: their lengths in code points, summed up in blocks, so that the work
+grows with the matches.
 
 Base rules: assign, access, hex; further rules find known token forms and private keys. Null texts count as empty; an
 empty text has no span. One row per row, repeated rows get equal rows, an empty table gives none; nothing is shuffled.
@@ -149,31 +153,54 @@ def candidate(query, bit: dict[str, int], column: str = "__postings") -> Column:
     return reduce(lambda a, b: a & b, parts) if query[0] == "and" else reduce(lambda a, b: a | b, parts)
 
 
+#: Matches are folded in blocks of so many, for a fold copies its array at every step.
+FOLD = 256
+SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), where value is evaluated once however often the body, or a lambda in it, names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks_of(items: Column) -> Column:
+    last = F.floor((F.size(items) - 1) / FOLD).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * FOLD + 1, F.lit(FOLD)))
+
+
+def running(values: Column, combine) -> Column:
+    """For each of an array of int what the ones before it combine to, from 0."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(values, start, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """array of (start, order, kind, end) of the rule's matches, leftmost first, those that fail `least` left out."""
     regex = F.lit(rule.regex)
     gaps = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x))
     whole = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), lambda x: F.length(x))
     held = F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), lambda x: F.length(x)) if rule.group else whole
-    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), held.alias("held"))
-    empty = F.expr("cast(array() as array<struct<start:int,order:int,kind:string,end:int>>)")
-    folded = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["whole"]).alias("at"),
-            F.when(s["held"] >= rule.least, F.array_append(acc["found"], F.struct((acc["at"] + s["gap"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (acc["at"] + s["gap"] + s["whole"]).alias("end")))).otherwise(acc["found"]).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    return F.when(F.size(whole) > 0, folded).otherwise(empty)
+    empty = F.expr(f"cast(array() as {SPANS})")
+
+    def step(acc: Column, s: Column) -> Column:
+        start, end = acc["at"] + s["gap"], acc["at"] + s["gap"] + s["whole"]
+        found = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(s["held"] >= rule.least, F.array_append(acc["found"], found)).otherwise(acc["found"]).alias("found"))
+
+    def folded(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, s: n + s["gap"] + s["whole"]))
+        both = F.arrays_zip(blocks.alias("steps"), running(totals, lambda n, x: n + x).alias("at"))
+        return F.flatten(F.transform(both, lambda b: F.aggregate(b["steps"], F.struct(b["at"].alias("at"), empty.alias("found")), step, lambda acc: acc["found"])))
+
+    steps = let(whole, lambda w: F.arrays_zip(F.slice(gaps, F.lit(1), F.size(w)).alias("gap"), w.alias("whole"), (held if rule.group else w).alias("held")))
+    return let(steps, lambda s: F.when(F.size(s) > 0, let(blocks_of(s), folded)).otherwise(empty))
 
 
 def with_spans(df: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", into: str = "__spans") -> DataFrame:
     """df with the column `into`: array of (start, order, kind, end) of all rules, sorted."""
     indexed, bit = postings(df, rules, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    empty = F.expr("cast(array() as array<struct<start:int,order:int,kind:string,end:int>>)")
+    empty = F.expr(f"cast(array() as {SPANS})")
     # rlike stops at the first match; only texts that have one are cut into spans.
     found = [F.when(candidate(trigram_query(r.regex), bit) & text.rlike(r.regex), spans(text, r, i)).otherwise(empty) for i, r in enumerate(rules)]
     return indexed.withColumn(into, F.array_sort(F.flatten(F.array(*found)))).drop("__postings")
@@ -194,16 +221,26 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def redacted(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every span of the text replaced by the mark (spans that overlap by one mark). Texts without any stay as they are."""
     found = with_spans(df, RULES, text_col)
-    text = F.col(text_col)
-    cut = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, cut).otherwise(text)).drop("__spans")
+    text, found_spans = F.col(text_col), F.col("__spans")
+
+    def piece(lo: Column, block: Column) -> Column:
+        """The text from lo to the end of the block's spans, marks in place; places within this section alone are counted."""
+        section = F.substring(text, lo + 1, F.greatest(lo, F.array_max(F.transform(block, lambda s: s["end"]))) - lo)
+
+        def step(own: Column, acc: Column, s: Column) -> Column:
+            fresh = F.concat(acc["out"], F.substring(own, acc["at"] - lo + 1, s["start"] - acc["at"]), F.lit(mark))
+            return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out")))
+
+        return let(section, lambda own: F.aggregate(block, F.struct(lo.alias("at"), F.lit("").alias("out")), lambda acc, s: step(own, acc, s), lambda acc: acc["out"]))
+
+    def cut(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+        both = F.arrays_zip(blocks.alias("spans"), running(ends, lambda n, x: F.greatest(n, x)).alias("lo"))
+        return F.array_join(F.transform(both, lambda b: piece(b["lo"], b["spans"])), "")
+
+    last = F.array_max(F.transform(found_spans, lambda s: s["end"]))
+    whole = F.concat(let(blocks_of(found_spans), cut), F.substring(text, last + 1, F.length(text)))
+    return found.withColumn(text_col, F.when(F.size(found_spans) > 0, whole).otherwise(text)).drop("__spans")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
