@@ -266,8 +266,9 @@ def similar(docs: DataFrame, row_col: str, text_col: str = "text", id_col: str =
     """(row, id, component): component is the row (of the least id) that stands for the group of a text's near copies.
 
     Linked are exactly the texts whose sets of five-word shingles have at least this Jaccard similarity: candidates leave out
-    no such pair, and each is counted on the words themselves. Groups are the components of these links. Texts of equal
-    sets are one class and compared once; a family of k different near copies is compared in up to k * k / 2 pairs.
+    no such pair, and those that may join two groups are counted on the words themselves. Groups are the components of these
+    links. Texts of equal sets are one class and compared once; of a family's candidate pairs one a text is compared, and
+    then those whose texts are still apart.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -283,9 +284,8 @@ def similar(docs: DataFrame, row_col: str, text_col: str = "text", id_col: str =
     sets = candidates(rows, "text", frequent_shingles(rows, "text", prints.count()), similarity)
     # A class's first row stands for it from here on.
     first = lambda side: classes.select(F.col("set").alias(side), F.col("node").alias(f"{side}_row"))
-    pairs = checkpointed(sets.join(first("u"), "u").join(first("v"), "v").select(F.col("u_row").alias("u"), F.col("v_row").alias("v")))
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    held = rows.select(F.col("row").alias("node"), "text").join(asked, "node", "left_semi")
+    u, v = F.col("u_row"), F.col("v_row")
+    pairs = checkpointed(sets.join(first("u"), "u").join(first("v"), "v").select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")))
 
     def verified(batches):
         last, own = None, set()
@@ -301,8 +301,21 @@ def similar(docs: DataFrame, row_col: str, text_col: str = "text", id_col: str =
                     v.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    read = pairs.join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    grouped = connected_components(read.select("u", "v", "a", "b").mapInArrow(verified, "u long, v long"))
+    def linked_of(asked: DataFrame) -> DataFrame:
+        nodes = asked.select(F.col("u").alias("node")).union(asked.select(F.col("v").alias("node"))).distinct()
+        held = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
+        read = asked.join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+        return checkpointed(read.select("u", "v", "a", "b").mapInArrow(verified, "u long, v long"))
+
+    # One pair a text first; then only pairs that these links leave apart. In a family of near copies few are left.
+    start = checkpointed(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    links = linked_of(start)
+    grouped = checkpointed(connected_components(links))
+    side = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    apart = F.coalesce("u_part", "u") != F.coalesce("v_part", "v")
+    rest = checkpointed(pairs.join(start, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left").where(apart).select("u", "v"))
+    if not rest.isEmpty():
+        grouped = checkpointed(connected_components(links.union(linked_of(rest))))
     found = classes.join(grouped, "node", "left").withColumn("root", F.coalesce("component", "node"))
     best = found.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best")).select("root", F.col("best.node").alias("component"))
     rooted = found.select("set", "root").join(best, "root").select("set", "component")
