@@ -264,13 +264,30 @@ def test_kdtree(spark):
         if q % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in sound if i != q)[:5]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    for shard_rows in (64, 10_000):
+    for shard_rows in (16, 64, 10_000):
         got = kdtree.top_k(df, df.where("id % 50 = 0"), 5, shard_rows=shard_rows).collect()
         assert sorted((g["query_id"], g["rank"], g["id"], g["score"]) for g in got) == sorted(want)
     assert kdtree.top_k(df.limit(0), df.limit(0), 5).count() == 0
     assert kdtree.top_k(df.where("id = 1"), df.where("id = 1"), 5).count() == 0
 
 
+def test_kdtree_skips_shards_that_cannot_reach(spark):
+    """Clusters far apart: blocks visit but few of the leaves, and find what brute force finds."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 8)) * 100
+    points = np.round(np.repeat(centres, 100, axis=0) + rng.normal(size=(1600, 8)))
+    nodes = kdtree.cuts(points, 16)
+    leaf = kdtree.leaf_of(nodes, points)
+    assert sorted(set(leaf.tolist())) == list(range(16)) and np.bincount(leaf).max() < 300
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    got = {}
+    for r in kdtree.top_k(df, df.where("id % 100 = 0"), 5, shard_rows=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    for q in range(0, 1600, 100):
+        scores = points @ points[q]
+        assert got[q] == sorted((i for i in range(1600) if i != q), key=lambda i: (-scores[i], i))[:5]
+
+
 def test_license_scan(docs):
     found = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
     known = {s: i for i, s in license_scan.SENTENCES.items()}
