@@ -13,6 +13,8 @@ empty table gives none. Nothing is shuffled and other columns are left out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,22 +54,59 @@ SENTENCES = {
     30: "licensed under the mit license",
     31: "this file is licensed under the bsd 3 clause license",
     32: "licensed under the apache license version 2 0 the license",
+    34: "apache license version 2 0 january 2004",
+    35: "gnu general public license version 3 29 june 2007",
+    36: "gnu general public license version 2 june 1991",
+    37: "gnu lesser general public license version 3 29 june 2007",
+    38: "gnu lesser general public license version 2 1 february 1999",
+    39: "gnu affero general public license version 3 19 november 2007",
+    40: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    41: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    42: "either version 2 1 of the license or at your option any later version",
+    43: "mozilla public license version 2 0",
+    44: "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    45: "boost software license version 1 0 august 17th 2003",
+    46: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    47: "eclipse public license v 2 0",
+    48: "the person who associated a work with this deed has dedicated the work to the public domain",
+    49: "cc0 1 0 universal",
+    50: "provided that the above copyright notice and this permission notice appear in all copies",
+    51: "under the terms of the gnu general public license version 2 only",
+    52: "spdx license identifier bsd 3 clause",
+    53: "spdx license identifier bsd 2 clause",
+    54: "spdx license identifier mpl 2 0",
+    55: "spdx license identifier gpl 2 0 only",
+    56: "spdx license identifier gpl 2 0 or later",
+    57: "spdx license identifier isc",
     33: "names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
 #: Identifiers that count only as whole pieces; the others are wording of licence texts.
-MENTIONS = {1, 2, 3, 4, *range(21, 33)}
+MENTIONS = {1, 2, 3, 4, *range(21, 33), *range(52, 58)}
+#: Words (or beginnings of words) of which every sentence holds one: a text without any of them holds no sentence.
+ANCHORS = ("license", "permission", "copyright", "warranty", "redistribution", "unencumbered", "reserved", "domain", "universal")
 #: (licence, identifiers in order); tried in this order.
 RULES = [
     ("BSD-3-Clause", [11, 12, 13, 14]),
     ("BSD-3-Clause", [11, 12, 13, 33]),
     ("Apache-2.0", [2, 8, 9, 10]),
     ("Apache-2.0", [32, 8, 9, 10]),
+    ("AGPL-3.0-or-later", [40, 16]),
+    ("LGPL-2.1-or-later", [41, 42]),
+    ("LGPL-3.0-or-later", [41, 16]),
+    ("ISC", [18, 50]),
     ("MIT", [5, 6, 7]),
     ("BSD-2-Clause", [11, 12, 13]),
     ("GPL-3.0-or-later", [15, 16]),
     ("GPL-2.0-or-later", [15, 17]),
     ("Apache-2.0", [2, 8]),
     ("Apache-2.0", [32, 8]),
+    ("GPL-3.0-only", [35]),
+    ("GPL-2.0-only", [36]),
+    ("LGPL-3.0-only", [37]),
+    ("LGPL-2.1-only", [38]),
+    ("AGPL-3.0-only", [39]),
+    ("GPL-2.0-only", [51]),
+    ("Apache-2.0", [34]),
     ("MIT", [5, 6]),
     ("MIT", [5]),
     ("Apache-2.0", [2]),
@@ -81,6 +120,20 @@ RULES = [
     ("GPL-3.0-only", [3]),
     ("CC-BY-NC-4.0", [4]),
     ("ISC", [18]),
+    ("MPL-2.0", [43]),
+    ("BSL-1.0", [45]),
+    ("BSL-1.0", [44]),
+    ("Zlib", [46]),
+    ("EPL-2.0", [47]),
+    ("CC0-1.0", [49, 48]),
+    ("CC0-1.0", [48]),
+    ("CC0-1.0", [49]),
+    ("BSD-3-Clause", [52]),
+    ("BSD-2-Clause", [53]),
+    ("MPL-2.0", [54]),
+    ("GPL-2.0-only", [55]),
+    ("GPL-2.0-or-later", [56]),
+    ("ISC", [57]),
     ("MPL-2.0", [19]),
     ("Unlicense", [20]),
     ("CC-BY-4.0", [21]),
@@ -107,8 +160,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     known = F.create_map(*[F.lit(x) for i, t in SENTENCES.items() for x in (t, i)])
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in RULES])
     # Cuts become bars: "| first piece | second piece |".
-    pieces = F.regexp_replace(F.lower(F.translate(F.coalesce(text_col, F.lit("")), CUT, " ")), BREAK, CUT)
+    lower = F.lower(F.coalesce(text_col, F.lit("")))
+    possible = reduce(lambda a, b: a | b, [lower.contains(a) for a in ANCHORS])
+    pieces = F.regexp_replace(F.translate(lower, CUT, " "), BREAK, CUT)
     pieces = F.regexp_replace(F.trim(F.regexp_replace(pieces, f"[^a-z0-9{CUT}]+", " ")), f" ?{CUT} ?", " | ")
+    pieces = F.when(possible, pieces).otherwise("")
     base = df.select(id_col, F.concat(F.lit("| "), F.trim(pieces), F.lit(" |")).alias("__pieces"))
     met = F.when(F.col("__pieces").rlike(FIND), F.regexp_extract_all("__pieces", F.lit(rf"({FIND}|\|)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     item = "array<struct<at:int,id:int>>"

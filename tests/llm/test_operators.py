@@ -348,8 +348,47 @@ MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
  * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"""
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+ZLIB = """  Permission is granted to anyone to use this software for any purpose,
+  including commercial applications, and to alter it and redistribute it
+  freely, subject to the following restrictions:"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,"""
+AGPL = GPL.replace("General Public", "Affero General Public")
+LGPL = GPL.replace("This program", "This library").replace("General Public", "Lesser General Public")
+TITLES = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+GPL_FULL = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed."""
+
+
+def test_every_license_sentence_has_an_anchor():
+    assert all(any(a in s for a in license_scan.ANCHORS) for s in license_scan.SENTENCES.values())
+    assert {i for _, ids in license_scan.RULES for i in ids} == set(license_scan.SENTENCES)
+
+
 def test_license_texts_as_they_are_stored(spark):
     cases = [
+        (ISC, "ISC", "18,50"), (UNLICENSE, "Unlicense", "20"), (ZLIB, "Zlib", "46"), (BOOST, "BSL-1.0", "45,44"), (AGPL % 3, "AGPL-3.0-or-later", "40,16"), (LGPL % "2.1", "LGPL-2.1-or-later", "41,42"),
+        (LGPL % 3, "LGPL-3.0-or-later", "41,16"), (TITLES, "Apache-2.0", "34"), (GPL_FULL, "GPL-3.0-only", "35"), ("// SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause", "52"),
         (MIT, "MIT", "5,6,7"), (APACHE, "Apache-2.0", "32,8,9,10"), (BSD2, "BSD-2-Clause", "11,12,13"), (BSD3 % "copyright holder", "BSD-3-Clause", "11,12,13,14"),
         (BSD3 % "Regents" + BSD3 % "copyright holder", "BSD-3-Clause", "11,12,13,33,11,12,13,14"), ((BSD3 % "copyright holder") * 2, "BSD-3-Clause", "11,12,13,14,11,12,13,14"),
         (GPL % 3, "GPL-3.0-or-later", "15,16"), (GPL % 2, "GPL-2.0-or-later", "15,17"), (MPL, "MPL-2.0", "19"), (MIT.replace("\n", "\r\n"), "MIT", "5,6,7"),
