@@ -103,6 +103,28 @@ def _python(text: str) -> Iterator[tuple]:
     yield from walk(ast.parse(text).body, "")
 
 
+def _further(line: str, language: str) -> list[str]:
+    """Names that a declaration of several variables declares after the first one."""
+    if language == "go":
+        m = re.match(rf"^(?:var|const)\s+{ID}((?:\s*,\s*{ID})+)", line)
+        return re.findall(ID, m[1]) if m else []
+    line, before = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`|//.*$", "", line), None
+    while line != before:  # commas within brackets part no declarations
+        line, before = re.sub(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>", "", line), line
+    return re.findall(rf",\s*({ID})\s*(?=[=:,;]|$)", line) if "(" not in line else []
+
+
+def _grouped(lines: list[str], first: int, language: str) -> tuple[int, list[tuple]] | None:
+    """Go's `var (...)`, `const (...)`, `type (...)`: the last line and (name, kind of symbol, line) of what it declares."""
+    m = re.match(r"^(var|const|type)\s*\(\s*$", lines[first]) if language == "go" else None
+    if not m:
+        return None
+    symbol = {"var": "variable", "const": "constant", "type": "type"}[m[1]]
+    last = next((i for i in range(first + 1, len(lines)) if lines[i].startswith(")")), len(lines) - 1)
+    names = [(name, symbol, i) for i in range(first + 1, last) if (d := re.match(rf"^\t?\s*({ID}(?:\s*,\s*{ID})*)", lines[i])) and len(lines[i]) - len(lines[i].lstrip()) <= 4 for name in re.split(r"\s*,\s*", d[1])]
+    return last, names
+
+
 def _found(text: str, language: str) -> list[tuple]:
     if language == "python":
         return list(_python(text))
@@ -111,12 +133,20 @@ def _found(text: str, language: str) -> list[tuple]:
     def walk(first: int, last: int, parent: str):
         i = first
         while i <= last:
+            if (group := _grouped(lines, i, language)) and group[1]:
+                end, names = group
+                out.append((names[0][0], "type" if names[0][1] == "type" else "block", names[0][1], i + 1, end + 1, parent))
+                out.extend((name, "", symbol, at + 1, at + 1, parent) for name, symbol, at in names[1:])
+                i = end + 1
+                continue
             hit = next(((m, d) for d in DECLARATIONS.get(language, []) if (m := re.match(d[0], lines[i]))), None)
             if hit is None:
                 i += 1
                 continue
             (m, (_, kind, symbol, members)), end = hit, min(last, _extent(lines, i, language))
             out.append((m["name"], kind, symbol, i + 1, end + 1, parent))
+            if symbol in ("variable", "constant") and language in ("go", "typescript", "javascript", "java"):
+                out.extend((name, "", symbol, i + 1, i + 1, parent) for name in _further(lines[i], language))
             if members:
                 walk(i + 1, end, m["name"])
             i = end + 1
@@ -181,8 +211,10 @@ def parse(path: str, text: str, language: str) -> Iterator[dict]:
     if header:
         chunks.append({"kind": "header", "name": None, "signature": None, "parent": None, "start_line": header[0][0], "end_line": header[-1][0], "content": "\n".join(x for _, x in header)})
     for name, kind, symbol, a, b, parent in found:
+        if not kind:  # declared beside another, whose chunk holds it
+            continue
         body, signature = "\n".join(lines[a - 1 : b]), lines[a - 1].strip()
-        inner = [f for f in found if f[5] == name and a < f[3] <= b]
+        inner = [f for f in found if f[1] and f[5] == name and a < f[3] <= b]
         if inner and tokens(body) > MOST_TOKENS:  # members are chunks of their own; what stays is the outline
             within = {i for f in inner for i in range(f[3], f[4] + 1)}
             body = "\n".join([x for i, x in enumerate(lines[a - 1 : b], a) if i not in within] + [lines[f[3] - 1] for f in inner])

@@ -196,6 +196,17 @@ def test_parser(language):
     assert [c["chunk_index"] for c in chunks] == list(range(len(chunks))) and all(c["token_count"] <= 1024 for c in chunks)
 
 
+@pytest.mark.parametrize("language,source,want", [
+    ("typescript", "export const a = 1, b = f(2, 3), c = [4, { d: 5 }]\nlet x: number, y = 'p, q'\n", {"a": "constant", "b": "constant", "c": "constant", "x": "variable", "y": "variable"}),
+    ("go", "package p\n\nvar (\n\tone, two = 1, 2\n\tThree int\n)\n\nconst (\n\tA = iota\n\tB\n)\n\nvar m, n int\n", {"one": "variable", "two": "variable", "Three": "variable", "A": "constant", "B": "constant", "m": "variable", "n": "variable"}),
+    ("java", "class C {\n  private int i = 1, j;\n  private Map<String, Integer> k = new HashMap<>();\n}\n", {"C": "class", "i": "variable", "j": "variable", "k": "variable"}),
+])
+def test_declarations_of_several_names(language, source, want):
+    rows = list(parse.parse("f", source, language))
+    assert {r["name"]: r["kind"] for r in rows if r["tag"] == "symbol"} == want
+    assert all(c["kind"] for c in rows if c["tag"] == "chunk")
+
+
 def test_parser_reports_errors_and_splits():
     assert [r["tag"] for r in parse.parse("f", "def x(:\n", "python")] == ["error"]
     long = "def f():\n" + "".join(f"    value_{i} = compute_something({i})\n" for i in range(400))
