@@ -10,7 +10,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], np.ndarray]
 DIMS = 128
@@ -67,17 +66,3 @@ def embedded(df: DataFrame, id_col: str, text_col: str, embedder: str = "hashing
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, embedding array<float>, error string")
-
-
-def with_embedding(df: DataFrame, text_col: str, embedder: str = "hashing", into: str = "embedding") -> DataFrame:
-    """A batch whose embedder fails gives nulls, which health checks report; nothing is marked embedded for them."""
-
-    @F.pandas_udf("array<float>")
-    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            try:
-                yield pd.Series(list(EMBEDDERS[embedder]([t or "" for t in part])), index=part.index)
-            except (OSError, RuntimeError):
-                yield pd.Series([None] * len(part), index=part.index)
-
-    return df.withColumn(into, embed(F.col(text_col)))

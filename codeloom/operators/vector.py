@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,11 +14,22 @@ from ..functions.scalar import cosine, vector_fault
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, score): best cosines; what isn't sound or of the query's length takes no part."""
-    v = F.col(vector_col)
-    sound = vectors.where(vector_fault(v, len(query)).isNull())
-    asked = F.array(*[F.lit(float(x)) for x in query])
-    return sound.select(id_col, F.round(cosine(v, asked), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    """(id, score): best cosines; what isn't sound or of the query's length takes no part. A batch is one matrix product."""
+    asked = np.array(query, np.float64)
+    asked_norm = float(np.linalg.norm(asked))
+
+    def scored(batches):
+        for batch in batches:
+            own = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), len(asked)), False))
+            points = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, len(asked))
+            norm = np.sqrt((points * points).sum(1))
+            good = np.isfinite(points).all(1) & (norm > 0)
+            score = points[good] @ asked / (norm[good] * asked_norm) if asked_norm else np.zeros(int(good.sum()))
+            yield pa.RecordBatch.from_arrays([own.column(0).filter(pa.array(good)), pa.array(score, pa.float64())], [id_col, "score"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    found = vectors.select(id_col, vector_col).mapInArrow(scored, f"`{id_col}` {kind}, score double")
+    return found.select(id_col, F.round("score", 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def sound(vectors: DataFrame, vector_col: str) -> DataFrame:

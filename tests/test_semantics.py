@@ -10,7 +10,7 @@ from codeloom import config, schemas
 from codeloom.api import Engine, duration
 from codeloom.functions import embed, render
 from codeloom.functions import scalar as fn
-from codeloom.functions.embed import hashing, with_embedding
+from codeloom.functions.embed import hashing
 from codeloom.operators import assemble, graph, rank, store, temporal, text, vector
 from codeloom.sources import parse, scan
 from codeloom.streaming import streams
@@ -355,8 +355,8 @@ def test_parents(spark):
 
 def test_embedder(spark):
     assert (hashing(["a b", "a b"])[0] == hashing(["a b"])[0]).all()
-    got = with_embedding(spark.createDataFrame([("hello world",), (None,)], "t string"), "t").collect()
-    assert all(len(r["embedding"]) == 128 for r in got)
+    got = embed.embedded(spark.createDataFrame([(i, t) for i, t in enumerate(["hello world", None] * 150)], "id long, t string"), "id", "t").collect()
+    assert len(got) == 300 and all(len(r["embedding"]) == 128 and r["error"] is None for r in got)
 
 
 def test_streams(spark, tmp_path):
