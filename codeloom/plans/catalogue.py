@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 
 from ..functions import render
 from ..functions import scalar as fn
-from ..functions.lineage import checkpointed
+from ..functions.lineage import checkpointed, new_folder
 from ..operators import assemble, graph, rank, store, temporal, text, vector
 from ..sources import scan
+from ..streaming import streams
 from . import views as v
 from .views import sql
 
@@ -663,6 +664,29 @@ def tool_call_metrics(s, d):
     return v.t(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.count_if(F.col("value") > 50).alias("slow"), F.round(F.avg("value"), 6).alias("mean"))
 
 
+def streamed(s, d, name: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming operator gives over a table read as a stream, to its end; batches are written to the shared folder."""
+    path = new_folder(s)
+    rows = s.readStream.schema(v.t(s, d, name).schema).parquet(f"{d}/{name}.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = operator(rows)
+    run = out.writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(path)).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return s.read.schema(out.schema).parquet(path)
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY user_id")
+def stream_session(s, d):
+    found = streamed(s, d, "events", lambda rows: streams.sessions(rows.select("user_id", "event_id"), "user_id"))
+    # A key has a row for every batch that brought it events; counts only grow.
+    return found.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last").alias("last"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS calls FROM events GROUP BY ALL")
+def stream_hourly(s, d):
+    found = streamed(s, d, "events", lambda rows: streams.hourly(rows, "event_type", "ts"))
+    return found.groupBy(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.max("calls").alias("calls"))
+
+
 @query("SELECT user_id, CAST((n - 1) // 10 AS BIGINT) AS batch, count(*) AS rows FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) GROUP BY ALL")
 def metrics_flush_batches(s, d):
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
