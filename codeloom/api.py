@@ -172,7 +172,7 @@ class Engine:
     def embed_page(self, after: int | None = None, limit: int = 256, done: bool = False) -> DataFrame:
         """Ids of chunks without a vector (with `done`: with one) beyond an id, in order: a page of a scan that can be resumed."""
         rows = self.store.read("embeddings") if done else self.store.read("chunks").join(self.store.read("embeddings").select("chunk_id"), "chunk_id", "left_anti")
-        return (rows if after is None else rows.where(F.col("chunk_id") > after)).select("chunk_id").orderBy("chunk_id").limit(limit)
+        return store.page(rows, "chunk_id", after, limit)
 
     def follow(self, source: str, checkpoint: str, files_a_batch: int = 1000, many: int = 20) -> StreamingQuery:
         """Bring the index up to files that are new or changed since the last call; after many at once, by a scan of all."""

@@ -22,6 +22,17 @@ def mark_embedded(chunks: DataFrame, done: DataFrame, key: str = "chunk_id") ->
     return chunks.join(flag, key, "left").withColumn("embedded", F.col("embedded") | F.coalesce("__done", F.lit(False))).drop("__done")
 
 
+def reset_embedded(chunks: DataFrame, gone: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """chunks, not embedded any more where their vectors are gone."""
+    flag = gone.select(key, F.lit(True).alias("__gone")).distinct()
+    return chunks.join(flag, key, "left").withColumn("embedded", F.col("embedded") & F.col("__gone").isNull()).drop("__gone")
+
+
+def page(rows: DataFrame, key: str, after=None, limit: int = 256) -> DataFrame:
+    """Keys beyond the last one seen, in order: a page of a scan that can be resumed."""
+    return (rows if after is None else rows.where(F.col(key) > after)).select(key).orderBy(key).limit(limit)
+
+
 def embedding_status(chunks: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, remaining, embedding_status)."""
     left = F.count_if(~F.col("embedded"))

@@ -28,6 +28,17 @@ def bursts(events: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFram
     return marked.groupBy(key, "burst").agg(F.count("*").alias("n"), F.max(ts).alias("burst_end"), F.max_by("event_id", F.struct(ts, "event_id")).alias("last_event"))
 
 
+def call_metrics(calls: DataFrame, tool: str, ts: str, took: str, slow_over: float) -> DataFrame:
+    """(hour, tool, calls, slow, mean) of tool calls."""
+    hour = F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour")
+    return calls.groupBy(hour, F.col(tool).alias("tool")).agg(F.count("*").alias("calls"), F.count_if(F.col(took) > slow_over).alias("slow"), F.round(F.avg(took), 6).alias("mean"))
+
+
+def flush_batches(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
+    """rows with the number of the batch of `size` in which a writer that gathers them by key would write each."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1) / size).cast("long"))
+
+
 BREAKER = "struct<state:string,failures:int,cooldown:double,opened:double>"
 
 

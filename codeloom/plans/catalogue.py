@@ -585,8 +585,8 @@ def mark_embedded_status(s, d):
 
 @query(sql(f"SELECT doc_id, count(*) FILTER (NOT embedded) AS remaining, {STATUS} AS embedding_status FROM (SELECT doc_id, chunk_id % 3 = 0 AND chunk_index <> 0 AS embedded FROM chunks) GROUP BY doc_id", "chunks"))
 def reset_embedded_status(s, d):
-    rows = v.chunks(s, d).select("doc_id", "chunk_id", ((F.col("chunk_id") % 3 == 0) & (F.col("chunk_index") != 0)).alias("embedded"))
-    return store.embedding_status(rows, "doc_id")
+    gone = v.chunks(s, d).where("chunk_index = 0").select("chunk_id")
+    return store.embedding_status(store.reset_embedded(flagged(s, d), gone), "doc_id")
 
 
 KNOWN = "known AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 8 <> 0)"
@@ -625,7 +625,12 @@ def cascade_delete(s, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id > 100 ORDER BY doc_id LIMIT 256")
 def keyset_page(s, d):
-    return v.t(s, d, "documents").where("doc_id % 3 <> 0 and doc_id > 100").orderBy("doc_id").limit(256).select("doc_id")
+    return store.page(v.t(s, d, "documents").where("doc_id % 3 <> 0"), "doc_id", 100)
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id > 100 ORDER BY vec_id LIMIT 256")
+def embedded_page(s, d):
+    return store.page(v.t(s, d, "embeddings"), "vec_id", 100)
 
 
 @query(sql(r"SELECT doc_id, regexp_matches(path, '(^|/)de/') OR regexp_matches(path, '_test\.txt$') AS test FROM files", "files"))
@@ -661,7 +666,7 @@ def tool_args_json(s, d):
 # --- streams as batches ------------------------------------------------------------------------------------------------
 @query("SELECT date_trunc('hour', ts) AS hour, event_type AS tool, count(*) AS calls, count(*) FILTER (value > 50) AS slow, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def tool_call_metrics(s, d):
-    return v.t(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.count_if(F.col("value") > 50).alias("slow"), F.round(F.avg("value"), 6).alias("mean"))
+    return temporal.call_metrics(v.t(s, d, "events"), "event_type", "ts", "value", 50)
 
 
 def streamed(s, d, name: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -689,8 +694,7 @@ def stream_hourly(s, d):
 
 @query("SELECT user_id, CAST((n - 1) // 10 AS BIGINT) AS batch, count(*) AS rows FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) GROUP BY ALL")
 def metrics_flush_batches(s, d):
-    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return v.t(s, d, "events").select("user_id", F.floor((n - 1) / 10).cast("long").alias("batch")).groupBy("user_id", "batch").agg(F.count("*").alias("rows"))
+    return temporal.flush_batches(v.t(s, d, "events"), "user_id", ["ts", "event_id"], 10).groupBy("user_id", "batch").agg(F.count("*").alias("rows"))
 
 
 @query("""WITH m AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000 THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
