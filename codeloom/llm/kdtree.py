@@ -149,7 +149,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     dims, leaves = (lengths["dims"], max(1, min(LEAVES, -(-lengths["count"] // shard_rows)))) if lengths else (0, 1)
     nodes = [(-1, 0, 0, 0)]
     if leaves > 1:
-        sample = vectors.where(F.size("v") == dims).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
+        # A share of the hashes first, so that partitions don't each send SAMPLE rows to the driver.
+        least = min((1 << 63) - 1, int((min(1.0, 2 * SAMPLE / lengths["count"]) - 0.5) * 2**64))
+        near = vectors.where((F.size("v") == dims) & (F.xxhash64("id") <= least)).groupBy("id").agg(F.first("v").alias("v"))
+        sample = near.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
         nodes = cuts(np.stack(sample.v.to_numpy()), leaves)
 
     def packed(own: pd.DataFrame, name: str) -> pd.DataFrame:
