@@ -87,7 +87,10 @@ def knn_join(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str
 def ivf_index(vectors: DataFrame, lists: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 10_000, seed: int = 7):
     """Coarse centroids fitted on a bounded sample (`sample` rows by hash of the id), and every sound row's list."""
     vectors = sound(vectors, vector_col)
-    rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector_col).toPandas()
+    # A share of the hashes first, so that partitions don't each send `sample` rows to the driver.
+    least = min((1 << 63) - 1, int((min(1.0, 2 * sample / max(1, vectors.count())) - 0.5) * 2**64))
+    near = vectors.where(F.xxhash64(id_col) <= least).groupBy(id_col).agg(F.first(vector_col).alias(vector_col))
+    rows = near.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector_col).toPandas()
     points = np.stack(rows[vector_col].to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
     centres = points[np.random.default_rng(seed).choice(len(points), min(lists, len(points)), replace=False)] if len(points) else np.zeros((1, 1))
