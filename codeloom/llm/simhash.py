@@ -20,11 +20,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, strings, table
+from .common import checkpointed, discard, small_batches, stored, strings, table
 from .components import connected_components
 
 RADIUS = 3
@@ -180,7 +181,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(roots.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-# Similarity of 0.8 and more is beyond three bits of 64. It is counted exactly, on the sets of five-word shingles.
+# Similarity of 0.8 is often beyond three bits of 64. It is counted exactly, on the sets of five-word shingles.
 
 #: Texts that are looked at for frequent shingles, and how many of those are known at most. Neither changes what is found.
 SAMPLE, FREQUENT = 16384, 65536
@@ -226,22 +227,21 @@ def frequent_shingles(texts: DataFrame, text_col: str, rows: int) -> np.ndarray:
     return np.array([r["key"] for r in reversed(found)], np.int64)
 
 
-def candidates(texts: DataFrame, text_col: str, frequent: np.ndarray, similarity: float) -> DataFrame:
-    """-> distinct (u, v) of set numbers among which are all pairs of at least this similarity.
+def shared_keys(texts: DataFrame, text_col: str, frequent: np.ndarray, similarity: float) -> DataFrame:
+    """-> distinct (key, set, n, at): keys that several sets hold, one for the same sets; two sets of at least this similarity share one.
 
     Shingles have one order in all texts, the frequent ones last. Of n shingles only the first n - ceil(similarity * n) + 1
-    are keys: two sets that are similar enough share one of them, whatever the order is (prefix filter). The lengths of the
-    sets and the places of the first shared key bound the similarity from above and leave out most other pairs.
+    are keys, whatever the order is (prefix filter); `at` is a key's place in that order.
     """
     order = np.argsort(frequent)
     by_hash = frequent[order]
 
     def keys(batches):
         for batch in batches:
-            found, sizes, places, nodes = [], [], [], []
+            found, sizes, places, sets = [], [], [], []
             for t in strings(batch.column(0)):
                 h = shingle_hashes(t)
-                nodes.append(set_number(h))
+                sets.append(set_number(h))
                 if len(frequent):
                     at = np.minimum(np.searchsorted(by_hash, h), len(by_hash) - 1)
                     often = by_hash[at] == h
@@ -251,41 +251,160 @@ def candidates(texts: DataFrame, text_col: str, frequent: np.ndarray, similarity
                 sizes.append(len(h))
                 places.append(np.arange(kept, dtype=np.int32))
             counts = [len(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate([np.zeros(0, np.int32), *places]))], ["key", "node", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(np.array(sets, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate([np.zeros(0, np.int32), *places]))], ["key", "set", "n", "at"])
 
-    # Repeated texts give equal rows, which go where the keys are; the join needs no other exchange.
-    keyed = texts.select(text_col).mapInArrow(keys, "key long, node long, n int, at int").repartition("key").distinct()
-    x, y = keyed.alias("x"), keyed.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    shared = F.least(n - F.col("x.at"), m - F.col("y.at"))
-    fits = (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (shared >= (n + m) * (similarity / (1 + similarity)) - 1e-9)
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    # Repeated texts give equal rows, which go where the keys are; the rows are exchanged once.
+    keyed = texts.select(text_col).mapInArrow(keys, "key long, set long, n int, at int").repartition("key").distinct()
+    held = keyed.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most"), F.count("*").alias("sets"), F.expr("bit_xor(xxhash64(set))").alias("hash"), F.sum("n").alias("size"), F.min("at").alias("at")).where("least <> most")
+    # Of the keys that the same sets hold the first bounds each pair best, and the others tell nothing more.
+    firsts = held.groupBy("least", "most", "sets", "hash", "size").agg(F.min(F.struct("at", "key")).alias("first")).select("first.key")
+    return keyed.join(firsts, "key", "left_semi")
 
 
-def similar(docs: DataFrame, row_col: str, text_col: str = "text", id_col: str = "doc_id", similarity: float = 0.8) -> DataFrame:
+def several(keyed: DataFrame, what: str) -> DataFrame:
+    """The rows of keys under which `what` has more than one value."""
+    keys = keyed.groupBy("key").agg(F.min(what).alias("least"), F.max(what).alias("most")).where("least <> most").select("key")
+    return keyed.join(keys, "key", "left_semi")
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """Which of 64 to 4096 places an odd number of the hashes falls on; four places a hash where they are enough.
+
+    Two such maps differ in no more places than the sets differ in members, and halves laid over each other (by
+    exclusive or) are the map of half the places.
+    """
+    places = min(4096, max(64, 1 << (4 * len(hashes) - 1).bit_length())) if len(hashes) else 64
+    odd = np.bincount(hashes.view(np.uint64).astype(np.int64) & (places - 1), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def proposed(keyed: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """keyed(key, node, n, at, part[, parity]) -> (u, v), u < v, of different parts that may be similar enough.
+
+    Bounds from above are the lengths of the sets, the places of the shared key and the parity maps; none leaves out a pair
+    of at least this similarity. Without `every`, of each node's pairs with lesser nodes only that of the best bound.
+    """
+    mapped = "parity" in keyed.columns
+    most = (1 - similarity) / (1 + similarity)
+
+    def pairs(t: pa.Table):
+        key, node, n, at, part = (t.column(c).to_numpy() for c in ("key", "node", "n", "at", "part"))
+        change = np.flatnonzero(key[1:] != key[:-1]) + 1
+        bounds = np.array([0, *change, t.num_rows])
+        end = np.repeat(bounds[1:], np.diff(bounds))
+
+        def batch(j: np.ndarray, bound: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(node[j], pa.int64()), pa.array(bound, pa.float64()), pa.array(u, pa.int64())], ["v", "bound", "u"])
+
+        n, at = n.astype(np.int64), at.astype(np.int64)
+        maps, width = {}, None
+        if mapped:
+            width = pc.binary_length(t.column("parity")).to_numpy()
+            raw = t.column("parity").to_pylist()
+            for w in sorted({*width.tolist()}, reverse=True):
+                # Wider maps are folded to this width; narrower ones aren't compared at it.
+                own = np.zeros((t.num_rows, w // 8), np.uint64)
+                at_w = np.flatnonzero(width == w)
+                own[at_w] = np.frombuffer(b"".join(raw[i] for i in at_w.tolist()), "<u8").reshape(-1, w // 8)
+                wider = min((x for x in maps if x > w), default=None)
+                if wider is not None:
+                    over, x = np.flatnonzero(width > w), maps[wider]
+                    folded = x[over]
+                    while folded.shape[1] > w // 8:
+                        half = folded.shape[1] // 2
+                        folded = folded[:, :half] ^ folded[:, half:]
+                    own[over] = folded
+                maps[w] = own
+        # Of rows i and i + d of one key the latter has the larger node.
+        best, partner = np.full(t.num_rows, np.inf), np.zeros(t.num_rows, np.int64)
+        held, active = [], np.arange(t.num_rows)
+        for d in range(1, int(np.diff(bounds).max(initial=0))):
+            active = active[active + d < end[active]]
+            for a in range(0, len(active), 1 << 14):
+                i = active[a : a + (1 << 14)]
+                i = i[part[i] != part[i + d]]
+                j = i + d
+                both = n[i] + n[j]
+                fits = (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-9) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= both * (similarity / (1 + similarity)) - 1e-9)
+                i, j, both = i[fits], j[fits], both[fits]
+                apart = np.abs(n[i] - n[j])
+                if mapped and len(i):
+                    common = np.minimum(width[i], width[j])
+                    for w in np.unique(common).tolist():
+                        of = np.flatnonzero(common == w)
+                        apart[of] = np.bitwise_count(maps[w][i[of]] ^ maps[w][j[of]]).sum(1, dtype=np.int64)
+                    near = apart <= both * most + 1e-9
+                    i, j, both, apart = i[near], j[near], both[near], apart[near]
+                if every:
+                    held.append((j, apart / both, node[i]))
+                    if sum(len(x[0]) for x in held) > 1 << 18:
+                        yield batch(*(np.concatenate(x) for x in zip(*held)))
+                        held = []
+                else:
+                    better = apart / both < best[j]
+                    best[j[better]], partner[j[better]] = (apart / both)[better], node[i[better]]
+        if held:
+            yield batch(*(np.concatenate(x) for x in zip(*held)))
+        if not every:
+            v = np.flatnonzero(np.isfinite(best))
+            yield batch(v, best[v], partner[v])
+
+    def run(batches):
+        """Rows come sorted by key and node; a key may go on in the next batch."""
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 16384 and held[0].column(0)[0] != batch.column(0)[-1]:
+                t = pa.Table.from_batches(held).combine_chunks()
+                key = t.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                yield from pairs(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                rows = t.num_rows - cut
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    columns = ["key", "node", "n", "at", "part"] + ["parity"] * mapped
+    found = keyed.select(*columns).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "v long, bound double, u long")
+    if every:
+        return found.select("u", "v").distinct()
+    return found.groupBy("v").agg(F.min(F.struct("bound", "u")).alias("best")).select(F.col("best.u").alias("u"), "v")
+
+
+def similar(docs: DataFrame, row_col: str, text_col: str = "text", id_col: str = "doc_id", similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """(row, id, component): component is the row (of the least id) that stands for the group of a text's near copies.
 
-    Linked are exactly the texts whose sets of five-word shingles have at least this Jaccard similarity: candidates leave out
-    no such pair, and those that may join two groups are counted on the words themselves. Groups are the components of these
-    links. Texts of equal sets are one class and compared once; of a family's candidate pairs one a text is compared, and
-    then those whose texts are still apart.
+    Linked are exactly the texts whose sets of five-word shingles have at least this Jaccard similarity and, with a radius,
+    those whose SimHash fingerprints differ in at most so many bits (op2's groups). Groups are the components of these links.
+    Texts of equal sets are one class and compared once. Classes that share a key (`shared_keys`, which leaves out no
+    similar pair) and that no link joins yet are counted on the words themselves: one pair a text, then one a text by the
+    best bound of the parity maps, then every pair that is still apart and within that bound. So rows grow with the
+    table; only the last step's pairs are as many as the pairs of a family that lie closely below the similarity.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def numbers(batches):
         for batch in batches:
-            found = [set_number(shingle_hashes(t)) for t in strings(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["row", "id", "set"])
+            texts = strings(batch.column(2))
+            hashes = [shingle_hashes(t) for t in texts]
+            fps = np.array([fingerprint(t) if radius is not None else 0 for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([set_number(h) for h in hashes], pa.int64()), pa.array(fps, pa.int64()), pa.array([parity(h) for h in hashes], pa.binary())], ["row", "id", "set", "fp", "parity"])
 
     rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = checkpointed(rows.mapInArrow(numbers, f"row long, id {kind}, set long"))
+    prints, prints_path = stored(rows.mapInArrow(numbers, f"row long, id {kind}, set long, fp long, parity binary"))
     classes = checkpointed(prints.groupBy("set").agg(F.min(F.struct("id", "row")).alias("first")).select("set", F.col("first.row").alias("node"), F.col("first.id").alias("id")))
-    sets = candidates(rows, "text", frequent_shingles(rows, "text", prints.count()), similarity)
-    # A class's first row stands for it from here on.
-    first = lambda side: classes.select(F.col("set").alias(side), F.col("node").alias(f"{side}_row"))
-    u, v = F.col("u_row"), F.col("v_row")
-    pairs = checkpointed(sets.join(first("u"), "u").join(first("v"), "v").select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")))
+    shared, shared_path = stored(shared_keys(rows, "text", frequent_shingles(rows, "text", prints.count()), similarity).join(classes.select("set", "node"), "set").select("key", "node", "n", "at"))
+
+    links = docs.sparkSession.createDataFrame([], "u long, v long")
+    if radius is not None:
+        fps = prints.select("set", "fp").distinct().join(classes.select("set", "node"), "set").select("node", "fp")
+        roots = connected_components(fingerprint_links(fps.select("fp").distinct(), radius))
+        rooted = checkpointed(fps.join(roots, fps.fp == roots.node, "left").select(fps.node, F.coalesce("component", "fp").alias("root")))
+        links = checkpointed(rooted.join(rooted.groupBy("root").agg(F.min("node").alias("u")), "root").where("node <> u").select("u", F.col("node").alias("v")))
 
     def verified(batches):
         last, own = None, set()
@@ -307,19 +426,31 @@ def similar(docs: DataFrame, row_col: str, text_col: str = "text", id_col: str =
         read = asked.join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return checkpointed(read.select("u", "v", "a", "b").mapInArrow(verified, "u long, v long"))
 
-    # One pair a text first; then only pairs that these links leave apart. In a family of near copies few are left.
-    start = checkpointed(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-    links = linked_of(start)
-    grouped = checkpointed(connected_components(links))
-    side = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-    apart = F.coalesce("u_part", "u") != F.coalesce("v_part", "v")
-    rest = checkpointed(pairs.join(start, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left").where(apart).select("u", "v"))
-    if not rest.isEmpty():
-        grouped = checkpointed(connected_components(links.union(linked_of(rest))))
+    grouped, tried = connected_components(links), None
+    for turn in range(3):
+        # Only keys that parts share go on.
+        parts = shared.join(grouped, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
+        opened, path = stored(several(parts.repartition("key"), "part"))
+        discard(docs.sparkSession, shared_path)
+        shared_path = path
+        if turn:
+            maps = prints.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "parity")
+            asked = proposed(opened.join(maps, "node"), similarity, turn == 2)
+        else:
+            asked = proposed(opened, similarity, False)
+        asked = checkpointed(asked if tried is None else asked.join(tried, ["u", "v"], "left_anti"))
+        if not asked.isEmpty():
+            tried = asked if tried is None else tried.union(asked)
+            links = links.union(linked_of(asked))
+            grouped = connected_components(links)
+        shared = opened.drop("part")
     found = classes.join(grouped, "node", "left").withColumn("root", F.coalesce("component", "node"))
     best = found.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best")).select("root", F.col("best.node").alias("component"))
     rooted = found.select("set", "root").join(best, "root").select("set", "component")
-    return prints.join(rooted, "set").select("row", "id", "component")
+    result = checkpointed(prints.join(rooted, "set").select("row", "id", "component"))
+    for path in (shared_path, prints_path):
+        discard(docs.sparkSession, path)
+    return result
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codeloom.llm import cross_parsing, flac, kdtree, license_scan, packing, secret_scan, sentencepiece_codec, sharding, simhash, toxicity
+from codeloom.llm import common, cross_parsing, flac, kdtree, license_scan, packing, secret_scan, sentencepiece_codec, sharding, simhash, toxicity
 from codeloom.llm.components import connected_components
 
 public = pytest.importorskip("public_tokenizers")
@@ -185,6 +185,47 @@ def test_similar_counts_sets(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_similar_sends_no_square_of_a_family(spark, monkeypatch):
+    """Variants of one text that are less alike than 0.8 share keys; few of their pairs may be written down."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    base, rows = [rng.choice(vocabulary) for _ in range(300)], []
+    for i in range(160):
+        own = list(base)
+        for k in rng.sample(range(300), 5):
+            own[k] = rng.choice(vocabulary)
+        rows.append((i, i, " ".join(own)))
+    sets = [simhash.shingles(t) for _, _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    written, plain = [], simhash.checkpointed
+
+    def counted(df):
+        df = plain(df)
+        if {"u", "v"} <= set(df.columns):
+            written.append(df.count())
+        return df
+
+    monkeypatch.setattr(simhash, "checkpointed", counted)
+    got = {r["row"]: r["component"] for r in simhash.similar(spark.createDataFrame(rows, "row long, doc_id long, text string"), "row").collect()}
+    assert [got[i] for i in range(len(rows))] == root
+    assert max(written) <= 4 * len(rows)
+
+
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n, m, both in ((3, 3, 2), (10, 40, 8), (500, 450, 400), (9000, 100, 50), (0, 5, 0)):
+        x = rng.integers(-(2**63), 2**63 - 1, n + m - both)
+        a, b = (np.frombuffer(simhash.parity(h), "u1") for h in (x[:n], x[n - both :]))
+        while len(a) != len(b):
+            a, b = (y[: len(y) // 2] ^ y[len(y) // 2 :] if len(y) > min(len(a), len(b)) else y for y in (a, b))
+        assert np.bitwise_count(a ^ b).sum(dtype=int) <= n + m - 2 * both
+
+
 def lz(words):
     seen, n, cur = set(), 0, ()
     for w in words:
@@ -615,6 +656,14 @@ def test_components(spark):
     assert all(got.get(x, x) == c for x, c in root.items())
 
 
+def test_checkpoints_leave_no_shuffle_files(spark):
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = held()
+    df = common.checkpointed(spark.range(1000).repartition(4, "id").groupBy(F.col("id") % 7).count())
+    assert held() == before
+    assert df.count() == 7
+
+
 @pytest.mark.parametrize("call", [simhash.near_duplicates, license_scan.scan, secret_scan.scan, packing.pack_documents, flac.store, lambda d: cross_parsing.scores(d, d), lambda d: sentencepiece_codec.digests(d, public.path("piece_bpe_32k.model"))])
 def test_empty_tables(docs, call):
     assert call(docs.limit(0)).count() == 0
