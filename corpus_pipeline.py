@@ -26,10 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (that of the least doc_id) of each group of near copies."""
+    """One document (that of the least doc_id) of each group of near copies.
+
+    Near copies have SimHash fingerprints within three bits (op2's groups), or five-word shingles of a Jaccard similarity of 0.8.
+    """
     # Row numbers have to stay with their rows, so they are written down.
     numbered, _ = stored(boxed(docs).withColumn("row", F.monotonically_increasing_id()))
-    groups = simhash.similar(numbered.select("row", "box.doc_id", "box.text"), "row")
+    groups = simhash.similar(numbered.select("row", "box.doc_id", "box.text"), "row", radius=simhash.RADIUS)
     gone = groups.where("row <> component").select("row")
     return numbered.join(gone, "row", "left_anti").select("box.*")
 

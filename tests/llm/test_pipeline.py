@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from codeloom.llm import simhash
 
 pytest.importorskip("public_tokenizers")
 
@@ -57,6 +58,24 @@ def test_stages(spark, folder, tmp_path):
     assert packed == ids[2]
 
 
+def test_near_copies_by_fingerprints(spark):
+    """Texts whose fingerprints op2 links are near copies, too, where their shingles are less alike than 0.8."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(900)]
+    line, rows = " ".join(words[:12]), []
+    for i in range(6):
+        rows.append((i, line + (" " + line) * 40 + " " + " ".join(words[20 + 20 * i : 40 + 20 * i]), "en", "s", 0))
+    rows += [(10 + i, " ".join(words[200 + 60 * i : 260 + 60 * i]), "en", "s", 0) for i in range(6)]
+    fps = [simhash.fingerprint(r[1]) for r in rows]
+    sets = [simhash.shingles(r[1]) for r in rows]
+    linked = [(i, j) for j in range(len(rows)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    assert linked and all(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8 for i, j in linked)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    groups = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert kept == groups and len(kept) < len(rows)
+
+
 def test_run_and_empty(spark, folder, tmp_path):
     d, _ = folder
     assert corpus_pipeline.run(spark, d).count() > 0
