@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codeloom.llm import common, cross_parsing, flac, kdtree, license_scan, packing, secret_scan, sentencepiece_codec, sharding, simhash, toxicity
+from codeloom.llm import common, components, cross_parsing, flac, kdtree, license_scan, packing, secret_scan, sentencepiece_codec, sharding, simhash, toxicity
 from codeloom.llm.components import connected_components
 
 public = pytest.importorskip("public_tokenizers")
@@ -656,6 +656,21 @@ def test_components(spark):
     assert all(got.get(x, x) == c for x, c in root.items())
 
 
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """A chain of 3,000 links in one query besides that of the links; by rounds it gives the same."""
+    rng = random.Random(6)
+    nodes = rng.sample(range(-10**12, 10**12), 3001)
+    rows = list(zip(nodes, nodes[1:])) + [(2 * 10**12, 2 * 10**12 + 1), (5, 5), (None, 7)]
+    made, plain = [], components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", lambda df: made.append(df) or plain(df))
+    links = spark.createDataFrame(rows, "u long, v long")
+    got = {tuple(r) for r in connected_components(links).collect()}
+    assert got == {(x, min(nodes)) for x in nodes} | {(2 * 10**12, 2 * 10**12), (2 * 10**12 + 1, 2 * 10**12)}
+    assert len(made) == 2
+    monkeypatch.setattr(components, "ONE_TASK", -1)
+    assert {tuple(r) for r in connected_components(spark.createDataFrame(rows[-100:], "u long, v long")).collect()} == {(x, min(nodes[-98:])) for x in nodes[-98:]} | {(2 * 10**12, 2 * 10**12), (2 * 10**12 + 1, 2 * 10**12)}
+
+
 def test_checkpoints_leave_no_shuffle_files(spark):
     held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
     before = held()
