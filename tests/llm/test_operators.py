@@ -679,6 +679,29 @@ def test_checkpoints_leave_no_shuffle_files(spark):
     assert df.count() == 7
 
 
+def test_rows_between_chunks_and_buckets():
+    """n-grams twelve times as many make few more buckets; a bucket in parts gives what a whole one gives."""
+    small, large = 1 << 27, 12 << 27
+    assert 1 << cross_parsing.buckets(small) == 128 and 1 << cross_parsing.buckets(large) <= 256
+    assert all(n >> cross_parsing.buckets(n) <= 8 * cross_parsing.BUCKET_GRAMS for n in (1 << 10, 1 << 27, 1 << 32, 1 << 36))
+
+
+def test_buckets_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes, payloads = [], []
+    for n in (900, 1, 500, 700):
+        low = np.unique(rng.integers(0, 1500, n).astype(np.uint64) * np.uint64((1 << 48) // 1500))
+        planes = np.diff(low, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T
+        sizes.append(len(low))
+        payloads.append(cross_parsing.packed(np.concatenate([np.ascontiguousarray(planes).ravel(), rng.integers(0, 6, len(low)).astype(np.uint8)])))
+    whole = [cross_parsing.unpacked(x).tolist() for x in cross_parsing.answered(sizes, payloads)]
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(cross_parsing, "BUCKET_GRAMS", 200)
+    monkeypatch.setattr(cross_parsing.np, "argsort", lambda x, *a, **k: sorts.append(len(x)) or plain(x, *a, **k))
+    assert [cross_parsing.unpacked(x).tolist() for x in cross_parsing.answered(sizes, payloads)] == whole
+    assert len(sorts) >= 8 and max(sorts) <= 2 * 200
+
+
 @pytest.mark.parametrize("call", [simhash.near_duplicates, license_scan.scan, secret_scan.scan, packing.pack_documents, flac.store, lambda d: cross_parsing.scores(d, d), lambda d: sentencepiece_codec.digests(d, public.path("piece_bpe_32k.model"))])
 def test_empty_tables(docs, call):
     assert call(docs.limit(0)).count() == 0
