@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, discard, small_batches, stored, strings, table
+from .common import by_key, checkpointed, discard, small_batches, stored, strings, table
 from .components import connected_components
 
 RADIUS = 3
@@ -150,7 +150,7 @@ def entries(fps: DataFrame) -> DataFrame:
     flips = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
     probes = stored.select("fp", "table", "key", F.explode(flips).alias("flip")).select("fp", "table", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
     # Only probes that meet a table entry go on; both sides are spread over the 2**32 values of a half.
-    return stored.union(probes.select("fp", "table", "key")).join(known, ["table", "key"]).select("table", "key", F.col("fp").alias("node"))
+    return stored.union(probes.select("fp", "table", "key")).join(by_key(known), ["table", "key"]).select("table", "key", F.col("fp").alias("node"))
 
 
 def divided(members: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def divided(members: DataFrame) -> DataFrame:
         parts = [other.bitwiseAND(m).bitwiseOR(F.lit((number + i) << 32).cast("long")) for i, m in enumerate(masks)]
         number += len(masks)
         choices = F.when(F.col("n") > over, F.array(*parts)).otherwise(choices)
-    return members.join(counts, ["table", "key"]).select("table", "key", "node", F.explode(choices).alias("part"))
+    return members.join(by_key(counts), ["table", "key"]).select("table", "key", "node", F.explode(choices).alias("part"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -176,9 +176,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = checkpointed(fingerprints(df, id_col, text_col, shingle))
     classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     grouped = connected_components(fingerprint_links(classes.select("fp"), radius))
-    roots = classes.join(grouped, classes.fp == grouped.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    roots = classes.join(by_key(grouped), classes.fp == grouped.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(roots.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return prints.join(by_key(roots.join(by_key(least), "root").select("fp", "component_id")), "fp").select(id_col, "fp", "component_id")
 
 
 # Similarity of 0.8 is often beyond three bits of 64. It is counted exactly, on the sets of five-word shingles.
@@ -258,13 +258,13 @@ def shared_keys(texts: DataFrame, text_col: str, frequent: np.ndarray, similarit
     held = keyed.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most"), F.count("*").alias("sets"), F.expr("bit_xor(xxhash64(set))").alias("hash"), F.sum("n").alias("size"), F.min("at").alias("at")).where("least <> most")
     # Of the keys that the same sets hold the first bounds each pair best, and the others tell nothing more.
     firsts = held.groupBy("least", "most", "sets", "hash", "size").agg(F.min(F.struct("at", "key")).alias("first")).select("first.key")
-    return keyed.join(firsts, "key", "left_semi")
+    return keyed.join(by_key(firsts), "key", "left_semi")
 
 
 def several(keyed: DataFrame, what: str) -> DataFrame:
     """The rows of keys under which `what` has more than one value."""
     keys = keyed.groupBy("key").agg(F.min(what).alias("least"), F.max(what).alias("most")).where("least <> most").select("key")
-    return keyed.join(keys, "key", "left_semi")
+    return keyed.join(by_key(keys), "key", "left_semi")
 
 
 def parity(hashes: np.ndarray) -> bytes:
@@ -397,14 +397,14 @@ def similar(docs: DataFrame, row_col: str, text_col: str = "text", id_col: str =
     rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints, prints_path = stored(rows.mapInArrow(numbers, f"row long, id {kind}, set long, fp long, parity binary"))
     classes = checkpointed(prints.groupBy("set").agg(F.min(F.struct("id", "row")).alias("first")).select("set", F.col("first.row").alias("node"), F.col("first.id").alias("id")))
-    shared, shared_path = stored(shared_keys(rows, "text", frequent_shingles(rows, "text", prints.count()), similarity).join(classes.select("set", "node"), "set").select("key", "node", "n", "at"))
+    shared, shared_path = stored(shared_keys(rows, "text", frequent_shingles(rows, "text", prints.count()), similarity).join(by_key(classes.select("set", "node")), "set").select("key", "node", "n", "at"))
 
     links = docs.sparkSession.createDataFrame([], "u long, v long")
     if radius is not None:
-        fps = prints.select("set", "fp").distinct().join(classes.select("set", "node"), "set").select("node", "fp")
+        fps = prints.select("set", "fp").distinct().join(by_key(classes.select("set", "node")), "set").select("node", "fp")
         roots = connected_components(fingerprint_links(fps.select("fp").distinct(), radius))
-        rooted = checkpointed(fps.join(roots, fps.fp == roots.node, "left").select(fps.node, F.coalesce("component", "fp").alias("root")))
-        links = checkpointed(rooted.join(rooted.groupBy("root").agg(F.min("node").alias("u")), "root").where("node <> u").select("u", F.col("node").alias("v")))
+        rooted = checkpointed(fps.join(by_key(roots), fps.fp == roots.node, "left").select(fps.node, F.coalesce("component", "fp").alias("root")))
+        links = checkpointed(rooted.join(by_key(rooted.groupBy("root").agg(F.min("node").alias("u"))), "root").where("node <> u").select("u", F.col("node").alias("v")))
 
     def verified(batches):
         last, own = None, set()
@@ -422,32 +422,32 @@ def similar(docs: DataFrame, row_col: str, text_col: str = "text", id_col: str =
 
     def linked_of(asked: DataFrame) -> DataFrame:
         nodes = asked.select(F.col("u").alias("node")).union(asked.select(F.col("v").alias("node"))).distinct()
-        held = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
-        read = asked.join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+        held = rows.select(F.col("row").alias("node"), "text").join(by_key(nodes), "node", "left_semi")
+        read = asked.join(by_key(held.select(F.col("node").alias("v"), F.col("text").alias("b"))), "v").join(by_key(held.select(F.col("node").alias("u"), F.col("text").alias("a"))), "u")
         return checkpointed(read.select("u", "v", "a", "b").mapInArrow(verified, "u long, v long"))
 
     grouped, tried = connected_components(links), None
     for turn in range(3):
         # Only keys that parts share go on.
-        parts = shared.join(grouped, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
+        parts = shared.join(by_key(grouped), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
         opened, path = stored(several(parts.repartition("key"), "part"))
         discard(docs.sparkSession, shared_path)
         shared_path = path
         if turn:
-            maps = prints.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "parity")
-            asked = proposed(opened.join(maps, "node"), similarity, turn == 2)
+            maps = prints.join(by_key(classes.select(F.col("node").alias("row"))), "row", "left_semi").select(F.col("row").alias("node"), "parity")
+            asked = proposed(opened.join(by_key(maps), "node"), similarity, turn == 2)
         else:
             asked = proposed(opened, similarity, False)
-        asked = checkpointed(asked if tried is None else asked.join(tried, ["u", "v"], "left_anti"))
+        asked = checkpointed(asked if tried is None else asked.join(by_key(tried), ["u", "v"], "left_anti"))
         if not asked.isEmpty():
             tried = asked if tried is None else tried.union(asked)
             links = links.union(linked_of(asked))
             grouped = connected_components(links)
         shared = opened.drop("part")
-    found = classes.join(grouped, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    found = classes.join(by_key(grouped), "node", "left").withColumn("root", F.coalesce("component", "node"))
     best = found.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best")).select("root", F.col("best.node").alias("component"))
-    rooted = found.select("set", "root").join(best, "root").select("set", "component")
-    result = checkpointed(prints.join(rooted, "set").select("row", "id", "component"))
+    rooted = found.select("set", "root").join(by_key(best), "root").select("set", "component")
+    result = checkpointed(prints.join(by_key(rooted), "set").select("row", "id", "component"))
     for path in (shared_path, prints_path):
         discard(docs.sparkSession, path)
     return result

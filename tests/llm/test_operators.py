@@ -705,3 +705,27 @@ def test_buckets_in_parts(monkeypatch):
 @pytest.mark.parametrize("call", [simhash.near_duplicates, license_scan.scan, secret_scan.scan, packing.pack_documents, flac.store, lambda d: cross_parsing.scores(d, d), lambda d: sentencepiece_codec.digests(d, public.path("piece_bpe_32k.model"))])
 def test_empty_tables(docs, call):
     assert call(docs.limit(0)).count() == 0
+
+
+def test_simhash_never_broadcasts_by_a_guess(spark, monkeypatch):
+    """Spark sizes an explode by the rows that went in, so no join of tables that grow may be left to that guess."""
+    plans = []
+
+    def seen(own):
+        def run(df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return own(df)
+
+        return run
+
+    for module, name in ((simhash, "checkpointed"), (simhash, "stored"), (components, "checkpointed")):
+        monkeypatch.setattr(module, name, seen(getattr(module, name)))
+    links = spark.createDataFrame([(2, 1), (3, 2)], "u long, v long")
+    plans.append(components._small_star(components._large_star(links))._jdf.queryExecution().executedPlan().toString())
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, i, " ".join(words[: 60 - i])) for i in range(8)] + [(8, 8, "other words"), (9, 9, None)]
+    df = spark.createDataFrame(rows, "row long, doc_id long, text string")
+    for found in (simhash.near_duplicates(df), simhash.similar(df, "row", radius=simhash.RADIUS)):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) > 10 and not [p for p in joins if "Broadcast" in p]
