@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalar import cosine, vector_fault
+from ..functions.scalar import vector_fault
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -43,45 +43,145 @@ def health(vectors: DataFrame, dims: int, vector_col: str = "embedding") -> Data
     return vectors.select(F.coalesce(vector_fault(F.col(vector_col), dims), F.lit("ok")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def knn_join(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
-    """(id, rank, neighbour, score): each vector's k best cosines among the others.
+#: Rows of one pack of candidates, and scores that a task holds at once.
+PACK_ROWS, SCORES = 4096, 1 << 22
 
-    Rows are dealt into blocks; every pair of blocks is one matrix product of bounded size, joined on the block's number.
-    Vectors with a fault, or of another length than most, take no part.
-    """
-    vectors = sound(vectors, vector_col)
-    n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    dealt = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
-    def packed(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [int(own.block.iloc[0])], "ids": [own.id.to_numpy(np.int64).tobytes()], "points": [np.stack(own.v.to_numpy()).tobytes()]})
+def blocks_of(rows: int, vectors: DataFrame, block_rows: int) -> int:
+    """Blocks of at most about `block_rows` queries (of 256 at least); where there are several, as many as keep all cores busy."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(-(-rows // min(256, block_rows)), cores * -(-rows // (block_rows * cores))))
 
-    packs = dealt.groupBy("block").applyInPandas(packed, "block int, ids binary, points binary")
-    asked = packs.select(F.col("ids").alias("q_ids"), F.col("points").alias("q_points"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
-    def unit(ids: bytes, points: bytes):
-        ids = np.frombuffer(ids, np.int64)
-        points = np.frombuffer(points).reshape(len(ids), -1)
-        norm = np.linalg.norm(points, axis=1, keepdims=True)
-        return ids, points / np.where(norm == 0, 1, norm)
+def packs(rows: DataFrame, kind: str, pack_rows: int = PACK_ROWS) -> DataFrame:
+    """rows(key, id, v), those of a key in a row -> (key, ids, points): up to `pack_rows` vectors of a key as one row of float64 bytes
+    or, where v is array<float>, float32."""
 
-    def scored(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                ids, points = unit(row.ids, row.points)
-                q_ids, q_points = unit(row.q_ids, row.q_points)
-                s = np.round(q_points @ points.T, 6)
-                s[q_ids[:, None] == ids[None]] = -np.inf
-                out = []
-                for i, own in enumerate(q_ids.tolist()):
-                    best = np.lexsort((ids, -s[i]))[:k]
-                    out += [(own, int(ids[j]), float(s[i, j])) for j in best if s[i, j] > -np.inf]
-                yield pd.DataFrame(out, columns=["id", "neighbour", "score"]).astype({"id": "int64", "neighbour": "int64", "score": "float64"})
-
-    found = packs.join(asked, "block").mapInPandas(scored, "id long, neighbour long, score double")
+    def run(batches):
+        for batch in batches:
+            key, v = batch.column(0).to_numpy(), batch.column(2)
+            bounds = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), batch.num_rows]
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                for a in range(low, high, pack_rows):
+                    own = slice(a, min(high, a + pack_rows))
+                    ids = pa.array([batch.column(1)[own].to_pylist()], pa.list_(batch.column(1).type))
+                    points = v[own].flatten().to_numpy(zero_copy_only=False).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 1]), ids, pa.array([points], pa.binary())], ["key", "ids", "points"])
+
+    return rows.mapInArrow(run, f"key int, ids array<{kind}>, points binary")
+
+
+def unit(points: bytes, rows: int, dtype: str) -> np.ndarray:
+    v = np.frombuffer(points, dtype).reshape(rows, -1).astype(np.float64)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(norm == 0, 1, norm)
+
+
+class Best:
+    """The k best (score, id) of each of a block's queries, so far; ties to the lesser id."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, k: int):
+        self.ids, self.points, self.single, self.k = ids, points, points.astype(np.float32), k
+        self.least = np.full(len(ids), -np.inf)
+        self.rows = pd.DataFrame({"row": np.zeros(0, np.int64), "score": np.zeros(0), "neighbour": ids[:0]})
+        # What a product of unit vectors in single precision may be off by, and what rounding to six digits adds.
+        self.slack = (points.shape[1] + 8) * 2.0**-23 + 1.1e-6
+
+    def meet(self, ids: np.ndarray, points: np.ndarray, own: np.ndarray) -> None:
+        """Compare the queries at the places `own` with a pack. Single precision chooses, double precision scores."""
+        single = points.astype(np.float32)
+        step = max(1, SCORES // max(1, len(ids)))
+        for a in range(0, len(own), step):
+            at = own[a : a + step]
+            s = self.single[at] @ single.T
+            least = self.least[at] - self.slack
+            if len(ids) > self.k + 1 and not np.isfinite(least).all():
+                # One more than k, as the query itself may be among them.
+                least = np.maximum(least, np.partition(s, -self.k - 1, axis=1)[:, -self.k - 1] - self.slack)
+            # As a float32 the bound is rounded down, so none is lost by it.
+            i, j = np.nonzero(s >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
+            for b in range(0, len(i), 1 << 17):
+                self.add(at[i[b : b + (1 << 17)]], ids, points, j[b : b + (1 << 17)])
+
+    def add(self, row: np.ndarray, ids: np.ndarray, points: np.ndarray, j: np.ndarray) -> None:
+        score = np.round(np.einsum("ij,ij->i", self.points[row], points[j]), 6)
+        good = (score >= self.least[row]) & (self.ids[row] != ids[j])
+        if not good.any():
+            return
+        new = pd.DataFrame({"row": row[good], "score": score[good], "neighbour": ids[j[good]]})
+        touched = np.zeros(len(self.ids), bool)
+        touched[new["row"].to_numpy()] = True
+        old = touched[self.rows["row"].to_numpy()]
+        both = pd.concat([self.rows[old], new]).sort_values(["row", "score", "neighbour"], ascending=[True, False, True])
+        number = both.groupby("row").cumcount().to_numpy()
+        last = both[number == self.k - 1]
+        self.least[last["row"].to_numpy()] = last["score"].to_numpy()
+        self.rows = pd.concat([self.rows[~old], both[number < self.k]])
+
+    def result(self) -> pd.DataFrame:
+        return pd.DataFrame({"id": self.ids[self.rows["row"].to_numpy()], "neighbour": self.rows["neighbour"].to_numpy(), "score": self.rows["score"].to_numpy()})
+
+
+def nearest(asked: DataFrame, sent: DataFrame, blocks: int, k: int, probed=None) -> DataFrame:
+    """asked(block, id, v) and sent(block, key, ids, points) -> (id, neighbour, score): k best cosines of every query among what its block is sent.
+
+    A task takes the queries of a block into memory and what is sent to them pack by pack, so it holds a bounded number of
+    scores and returns k rows a query. With `probed` (vectors -> a table of bools) a query meets the keys it names alone.
+    """
+    kind, dtype = asked.schema["id"].dataType.simpleString(), "<f4" if asked.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
+    own = packs(asked.select(F.col("block").alias("key"), "id", "v").repartitionById(blocks, F.col("block")).sortWithinPartitions("key"), kind)
+    rows = own.select(F.col("key").alias("block"), F.lit(0).alias("role"), "key", "ids", "points").union(sent.select("block", F.lit(1), "key", "ids", "points"))
+
+    def run(batches):
+        block, best, queries, names = None, None, [], None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at, role, key = (batch.column(c)[row].as_py() for c in range(3))
+                ids, points = batch.column(3)[row].values.to_numpy(zero_copy_only=False), batch.column(4)[row].as_py()
+                if at != block:
+                    if best is not None:
+                        yield pa.RecordBatch.from_pandas(best.result(), schema=schema, preserve_index=False)
+                    block, best, queries = at, None, []
+                points = unit(points, len(ids), dtype)
+                if role == 0:
+                    queries.append((ids, points))
+                    continue
+                if best is None:
+                    if not queries:
+                        continue
+                    best = Best(*(np.concatenate(x) for x in zip(*queries)), k)
+                    names = probed(best.points) if probed else None
+                best.meet(ids, points, np.flatnonzero(names[:, key]) if probed else np.arange(len(best.ids)))
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best.result(), schema=schema, preserve_index=False)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = f"id {kind}, neighbour {kind}, score double"
+    schema = to_arrow_schema(StructType.fromDDL(out))
+    found = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "role").mapInArrow(run, out)
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias(id_col), F.col("rank").cast("int").alias("rank"), "neighbour", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", F.col("rank").cast("int").alias("rank"), "neighbour", "score")
+
+
+def block_of(id_col: str, blocks: int):
+    return F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+
+
+def knn_join(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16384) -> DataFrame:
+    """(id, rank, neighbour, score): each vector's k best cosines among the others.
+
+    Queries are dealt into blocks, and packs of all rows are sent to each; every pair is a matrix product of bounded size.
+    Vectors with a fault, or of another length than most, take no part.
+    """
+    vectors = sound(vectors, vector_col)
+    blocks = blocks_of(vectors.count(), vectors, block_rows)
+    v = F.col(vector_col) if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(block_of(id_col, blocks).alias("block"), F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    all_packs = packs(rows.select(F.lit(0).alias("key"), "id", "v"), "bigint", min(PACK_ROWS, block_rows))
+    sent = all_packs.select("key", "ids", "points", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return nearest(rows, sent, blocks, k).withColumnRenamed("id", id_col)
 
 
 def ivf_index(vectors: DataFrame, lists: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 10_000, seed: int = 7):
@@ -117,23 +217,41 @@ def ivf_top_k(index, query: list[float], k: int, probes: int, id_col: str = "vec
     return top_k(listed.where(F.col("list").isin([int(x) for x in near])), query, k, id_col, vector_col)
 
 
-def ivf_search(index, queries: DataFrame, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, rank, neighbour, score) of many queries at once: each is sent to its `probes` nearest lists and joined on the list."""
-    centres, listed = index
+def ivf_search(index, queries: DataFrame, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16384) -> DataFrame:
+    """(id, rank, neighbour, score) of many queries at once: each meets its `probes` nearest lists.
 
-    def asked(frames):
-        for frame in frames:
-            p = np.stack(frame[vector_col].to_numpy()).astype(float) if len(frame) else np.zeros((0, centres.shape[1]))
-            near = np.argsort(-(p @ centres.T), axis=1)[:, :probes].astype("int32")
-            out = frame.loc[frame.index.repeat(near.shape[1])].reset_index(drop=True)
-            yield out.assign(list=near.ravel())
-
-    kind = queries.schema[id_col].dataType.simpleString()
-    q = sound(queries, vector_col).select(id_col, vector_col).mapInPandas(asked, f"{id_col} {kind}, {vector_col} array<float>, list int")
-    pairs = q.select(F.col(id_col).alias("q"), F.col(vector_col).alias("qv"), "list").join(listed, "list").where(F.col("q") != F.col(id_col))
-    scored = pairs.select(F.col("q"), F.col(id_col).alias("neighbour"), F.round(cosine(F.col(vector_col), F.col("qv")), 6).alias("score"))
-    best = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "neighbour"))
-    return scored.withColumn("rank", best).where(F.col("rank") <= k).select(F.col("q").alias(id_col), F.col("rank").cast("int").alias("rank"), "neighbour", "score")
+    Queries are dealt into blocks, and each block is sent the lists that any of its queries asks, in packs.
+    """
+    centres, listed = index
+    queries = sound(queries, vector_col)
+    blocks = blocks_of(queries.count(), queries, block_rows)
+
+    def probed(points: np.ndarray) -> np.ndarray:
+        named = np.zeros((len(points), len(centres)), bool)
+        for a in range(0, len(points), 4096):
+            near = np.argsort(-(points[a : a + 4096] @ centres.T), axis=1)[:, :probes]
+            np.put_along_axis(named[a : a + 4096], near, True, axis=1)
+        return named
+
+    def lists_asked(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            own /= np.linalg.norm(own, axis=1, keepdims=True)
+            block, named = batch.column(0).to_numpy(), probed(own)
+            for b in np.unique(block).tolist():
+                held[b] = named[block == b].any(0) | held.get(b, False)
+        for b, named in held.items():
+            lists = np.flatnonzero(named).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists), b, np.int32)), pa.array(lists)], ["block", "key"])
+
+    kind = listed.schema[id_col].dataType.simpleString()
+    asked = queries.select(block_of(id_col, blocks).alias("block"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    # As many rows as blocks and lists, but sized by vectors; neither side is left to a guess.
+    pairs = asked.select("block", "v").mapInArrow(lists_asked, "block int, key int").distinct()
+    rows = listed.select(F.col("list").alias("key"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    sent = packs(rows.repartition("key").sortWithinPartitions("key"), kind).join(pairs.hint("merge"), "key")
+    return nearest(asked, sent, blocks, k, probed).withColumnRenamed("id", id_col)
 
 
 def upsert_vectors(base: DataFrame, new: DataFrame, dims: int, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import os
 
+import numpy as np
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -72,6 +73,22 @@ def test_odd_vectors(spark):
     assert {r[0] for r in vector.delete_vectors(merged, spark.createDataFrame([(1,), (1,), (9,)], "chunk_id long")).collect()} == {2, 4}
 
 
+def test_neighbours_of_lists_are_sent_in_packs(spark):
+    """Ties and float precision as by single comparisons, over several blocks and packs; few shuffled rows, not one a pair."""
+    rng = np.random.default_rng(3)
+    points = np.repeat(rng.normal(size=(150, 8)).astype(np.float32), 4, axis=0) * rng.integers(1, 3, (600, 1)).astype(np.float32)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, r + 1, int(j)) for i in range(600) for r, j in enumerate(np.lexsort((np.arange(600), -s[i]))[:5])}
+    knn = vector.knn_join(df, 5, block_rows=50)
+    ivf = vector.ivf_search(vector.ivf_index(df, 6), df, 5, 6, block_rows=50)
+    for found in (knn, ivf):
+        assert {(r["vec_id"], r["rank"], r["neighbour"]) for r in found.collect()} == want
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stored_index_gives_what_a_scan_gives(spark, tmp_path):
     rows = [(1, "validateToken checks", "a"), (2, "token here token", "b"), (3, "nothing", "a"), (4, None, "a"), (5, "", "b"), (6, "Token, work", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, part string")
