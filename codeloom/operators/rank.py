@@ -35,10 +35,30 @@ def level(chunks: int, vectors: int, embedder_ready: bool = True) -> str:
 
 def metrics(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """results(query, rank, item), expected(query, item) -> (query, recall, precision, rr). Recall counts results, 1 at most."""
+    wanted = expected.groupBy("query").agg(F.count_distinct("item").alias("wanted"))
+    return _measured(results.where(F.col("rank") <= k), expected.select("query", "item").distinct(), wanted, k)
+
+
+def class_metrics(results: DataFrame, asked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
+    """As `metrics`, where a query of asked(query, label) expects all items of judged(item, label) of its label but itself.
+
+    Expected items are counted a label and looked up for results alone, so no pair of a query and an item is built; only
+    queries of several labels, whose items may repeat, are joined with their items.
+    """
+    asked, judged = (x.where("label is not null").distinct() for x in (asked, judged))
     top = results.where(F.col("rank") <= k)
-    marked = top.join(expected.select("query", "item", F.lit(1).alias("hit")).distinct(), ["query", "item"], "left")
+    hits = top.join(asked, "query").join(judged, ["item", "label"]).where("query <> item").select("query", "item").distinct()
+    labels = asked.groupBy("query").agg(F.count("*").alias("labels"), F.min("label").alias("label"))
+    counts = judged.groupBy("label").agg(F.count("item").alias("all"))
+    itself = judged.select(F.col("item").alias("query"), "label", F.lit(1).alias("itself"))
+    one = labels.where("labels = 1").join(counts, "label").join(itself, ["query", "label"], "left").select("query", (F.col("all") - F.coalesce("itself", F.lit(0))).alias("wanted"))
+    several = asked.join(labels.where("labels > 1").select("query"), "query").join(judged, "label").where("query <> item").groupBy("query").agg(F.count_distinct("item").alias("wanted"))
+    return _measured(top, hits, one.union(several).where("wanted > 0"), k)
+
+
+def _measured(top: DataFrame, hits: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    marked = top.join(hits.withColumn("hit", F.lit(1)), ["query", "item"], "left")
     per = marked.groupBy("query").agg(F.count("hit").alias("hits"), F.count("*").alias("n"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
-    wanted = expected.groupBy("query").agg(F.count_distinct("item").alias("wanted"))
     hits = F.coalesce("hits", F.lit(0))
     return wanted.join(per, "query", "left").select(
         "query",

@@ -9,7 +9,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 from pyspark.sql import functions as F  # noqa: E402
 
-from codeloom.operators import text, vector  # noqa: E402
+from codeloom.operators import rank, text, vector  # noqa: E402
 from codeloom.plans import catalogue  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -73,6 +73,18 @@ def test_odd_vectors(spark):
     assert {r[0] for r in vector.delete_vectors(merged, spark.createDataFrame([(1,), (1,), (9,)], "chunk_id long")).collect()} == {2, 4}
 
 
+def test_metrics_by_class_build_no_pairs(spark):
+    """Counted a label and by all pairs of queries and items alike: several labels, none, repeats, a query's own row."""
+    labels = [(i, i % 3) for i in range(30)] + [(4, 2), (4, 2), (5, None), (40, 9), (0, 1)]
+    e = spark.createDataFrame(labels, "query long, label int")
+    judged = e.where("query % 2 = 0").withColumnRenamed("query", "item")
+    results = spark.createDataFrame([(q, r, (q * r) % 17) for q in range(0, 30, 2) for r in range(1, 6)], "query long, rank int, item long")
+    pairs = e.join(judged, "label").where("query <> item").select("query", "item")
+    want = sorted(map(tuple, rank.metrics(results, pairs, 4).collect()))
+    got = rank.class_metrics(results, e, judged, 4)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 30
+
+
 def test_neighbours_of_lists_are_sent_in_packs(spark):
     """Ties and float precision as by single comparisons, over several blocks and packs; few shuffled rows, not one a pair."""
     rng = np.random.default_rng(3)
