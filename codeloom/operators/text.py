@@ -19,8 +19,18 @@ def postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return split.select(id_col, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(id_col, "term", "len").agg(F.count("*").alias("tf"))
 
 
-#: Files of stored postings: a query reads those of its terms' buckets.
-BUCKETS = 64
+def counted(split: DataFrame) -> DataFrame:
+    """Each row's array `t` of tokens -> a row a distinct one: the other columns, len, term, tf. Counted within the row, without a shuffle."""
+    others = [c for c in split.columns if c != "t"]
+    runs = split.select(*others, F.sort_array("t").alias("s"))
+    runs = runs.select(*others, "s", F.expr("CASE WHEN size(s) > 0 THEN filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> get(s, i - 1)) ELSE array() END").alias("first"))
+    terms = F.expr("transform(first, (i, j) -> struct(s[i] AS term, cast(coalesce(get(first, j + 1), size(s)) - i AS bigint) AS tf))")
+    # An outer generator, as Spark filters before others by what they are given, which would cut texts into tokens twice.
+    return runs.select(*others, F.size("s").alias("len"), F.inline_outer(terms)).where("term is not null")
+
+
+#: Folders of stored postings: a query reads the files of its terms' buckets. Rows that a task sorts, about.
+BUCKETS, TASK_ROWS = 64, 1 << 20
 
 
 class Index:
@@ -33,10 +43,16 @@ class Index:
     @classmethod
     def build(cls, df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> Index:
         split = df.select(id_col, *keep, F.col(text_col).isNotNull().alias("held"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("t"))
-        rows = split.select(id_col, *keep, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(id_col, *keep, "len", "term").agg(F.count("*").alias("tf"))
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        rows.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", id_col).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         split.agg(F.count("*").alias("n"), F.count_if("held").alias("texts"), F.sum(F.size("t")).alias("total")).write.mode("overwrite").parquet(f"{path}/statistics")
+        rows = counted(split.select(id_col, *keep, "t"))
+        if not df.groupBy(id_col).count().where("count > 1").isEmpty():
+            rows = rows.groupBy(id_col, *keep, "len", "term").agg(F.sum("tf").alias("tf"))
+        # Postings are exchanged once; a bucket has as many files as keep what a task sorts to some TASK_ROWS rows.
+        total = df.sparkSession.read.parquet(f"{path}/statistics").first()["total"] or 0
+        pieces = -(-max(1, total) // (BUCKETS * TASK_ROWS))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        task = F.col("bucket") * pieces + F.pmod(F.xxhash64(id_col), F.lit(pieces)).cast("int")
+        rows.repartitionById(BUCKETS * pieces, task).sortWithinPartitions("bucket", "term", id_col).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         return cls(df.sparkSession, path, id_col)
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 from pyspark.sql import functions as F  # noqa: E402
 
+from codeloom.functions import scalar as fn  # noqa: E402
 from codeloom.operators import rank, text, vector  # noqa: E402
 from codeloom.plans import catalogue  # noqa: E402
 
@@ -113,6 +114,29 @@ def test_stored_index_gives_what_a_scan_gives(spark, tmp_path):
     assert "PartitionFilters" in plan and "documents" not in plan
 
 
+def test_index_exchanges_postings_once(spark, tmp_path, monkeypatch):
+    """Terms are counted within a text; large buckets are several files; repeated ids are added up as before."""
+    rows = [(i, f"b a{i % 5} B c c{i % 3} a", f"p{i}") for i in range(40)] + [(50, None, "n"), (51, "", "e")]
+    repeated = [*rows, rows[7], (8, "b b", "other")]
+    monkeypatch.setattr(text, "TASK_ROWS", 1)
+    plans, plain = [], type(spark.range(1)).repartitionById
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *args)
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionById", seen)
+    for case, given in (("one", rows), ("more", repeated)):
+        df = spark.createDataFrame(given, "doc_id long, text string, path string")
+        index = text.Index.build(df, str(tmp_path / case), keep=["path"])
+        split = df.select("doc_id", "path", fn.tokens(F.col("text")).alias("t"))
+        want = split.select("doc_id", "path", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "path", "len", "term").agg(F.count("*").alias("tf"))
+        columns = ["doc_id", "path", "len", "term", "tf"]
+        assert sorted(map(tuple, index.postings().select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+        assert index.postings(["b"]).select("doc_id").distinct().count() == 40
+    assert "Exchange" not in plans[0] and "Exchange" in plans[1]
+
+
 def test_entry(spark):
     import __spark_entry__
 
