@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import packing, secret_scan, simhash, toxicity
-from codeloom.llm.common import stored, table
+from codeloom.llm.common import by_key, stored, table
 
 
 def boxed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     numbered, _ = stored(boxed(docs).withColumn("row", F.monotonically_increasing_id()))
     groups = simhash.similar(numbered.select("row", "box.doc_id", "box.text"), "row", radius=simhash.RADIUS)
     gone = groups.where("row <> component").select("row")
-    return numbered.join(gone, "row", "left_anti").select("box.*")
+    return numbered.join(by_key(gone), "row", "left_anti").select("box.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
